@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import SPACE, cut
 
 SALTS = 64
-_TOP = F.lit("9223372036854775808").cast("decimal(38,0)")  # 2 ** 63
-_STEP = F.lit("36893488147419103232").cast("decimal(38,0)")  # 2 ** 65
+
+
+def _whole(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
 
 
 def normalised(text: Column) -> Column:
@@ -21,7 +23,7 @@ def _rank(chars: Column, doc_id: Column) -> Column:
 
     A decimal fits a hash aggregate's fixed buffer; a struct or a string would turn it into a sort.
     """
-    return (chars.cast("decimal(12,0)") * _STEP).cast("decimal(38,0)") + F.coalesce(_TOP - doc_id.cast("decimal(20,0)"), F.lit(0).cast("decimal(38,0)"))
+    return (chars.cast("decimal(12,0)") * _whole(2**65)).cast("decimal(38,0)") + F.coalesce(_whole(2**63) - doc_id.cast("decimal(20,0)"), F.lit(0).cast("decimal(38,0)"))
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest=None) -> DataFrame:
@@ -48,8 +50,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     base = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     salted = base.groupBy("digest", "norm", "salt").agg(F.max(_rank(F.col("chars"), F.col("doc_id"))).alias("rank"), F.count("*").alias("n"))
     whole = salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("group_size"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("salts"))
-    low = F.col("rank") % _STEP
-    whole = whole.withColumn("keep_id", F.when(low == 0, None).otherwise((_TOP - low).cast("long")))
+    low = F.col("rank") % _whole(2**65)
+    whole = whole.withColumn("keep_id", F.when(low == 0, None).otherwise((_whole(2**63) - low).cast("long")))
     winners = cut(whole.select("digest", "group_size", "salts", "keep_id"))
     clashing = winners.groupBy("digest").agg(F.count("*").alias("contents")).where("contents > 1").select("digest")
     keys, clash = ["digest", "salt"], bool(clashing.take(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import cover_tree, simhash, suffix_dedup
 from sparkloom.llm import curriculum as mixing
 from sparkloom.llm import exact_dedup as exact
 from sparkloom.llm.common import table
@@ -21,12 +22,38 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.asc_nulls_last("first_position"), "doc_id")
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passage_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_cover_tree": op2_cover_tree,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op10_simhash": op10_simhash,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_cover_tree": r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.9::DOUBLE * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))
+    AND list_dot_product(a.e, a.e) > 0 AND list_dot_product(b.e, b.e) > 0),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT low.a AS vec_id, coalesce(deg.n, 0)::BIGINT AS n_links, component_id, low.a = component_id AS kept
+FROM low LEFT JOIN deg ON low.a = deg.a""",
     "op4_curriculum_mix": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
