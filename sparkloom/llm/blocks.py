@@ -67,3 +67,33 @@ def mix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
+
+
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+def word_spans(data: np.ndarray, between: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """First byte, end and 64-bit hash (over 1) of each run of bytes that `between` (256 flags) doesn't name.
+
+    With `prefixes`, a hash of each longer run's first bytes follows for each of those lengths (0: run not longer).
+
+    `data` ends with such a byte. Hashes are differences of prefix sums, so the cost is per byte, not per word.
+    """
+    values = mix(np.arange(1, 257, dtype=np.uint64))
+    power, back = _powers(_BASE, len(data)), _powers(pow(_BASE, -1, 2**64), len(data))
+    edge = np.flatnonzero(np.diff(np.r_[True, between[data]].astype(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(values[data] * power)]
+        h = mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(2)
+        starts = [np.where(last - first > k, mix((sums[np.minimum(last, first + k)] - sums[first]) * back[first] + np.uint64(k)) | np.uint64(2), np.uint64(0)) for k in prefixes]
+    return first, last, h, *starts

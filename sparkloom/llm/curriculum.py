@@ -98,7 +98,7 @@ def curriculum(docs: DataFrame, knots_of, *, id_col: str = "doc_id", source_col:
 def training_order(docs: DataFrame, knots_of, **options) -> DataFrame:
     """The copies that the curriculum takes, with the columns of `docs`, range-sorted by training position."""
     out = curriculum(docs, knots_of, carry=True, **options).select("row", F.posexplode("positions").alias("pass", "position"))
-    return out.repartitionByRange(F.col("position"), F.xxhash64("row.*")).sortWithinPartitions("position", F.xxhash64("row.*")).select("row.*")
+    return out.repartitionByRange(F.col("position"), F.xxhash64("row")).sortWithinPartitions("position", F.xxhash64("row")).select("row.*")
 
 
 def ranked_schedules(totals: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import cover_tree, simhash, suffix_dedup
+from sparkloom.llm import bpe, cover_tree, katz, ordinal, simhash, suffix_dedup
 from sparkloom.llm import curriculum as mixing
 from sparkloom.llm import exact_dedup as exact
 from sparkloom.llm.common import table
@@ -26,17 +27,33 @@ def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.classify(docs, ordinal.train(docs, ordinal.graded(table(spark, sf_dir, "labels"))))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.passage_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_cover_tree": op2_cover_tree,
+    "op3_ordinal_quality": op3_ordinal_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op8_bpe_chunks": op8_bpe_chunks,
+    "op9_katz": op9_katz,
     "op10_simhash": op10_simhash,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op7_exact_dedup": op7_exact_dedup,
