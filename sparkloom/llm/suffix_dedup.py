@@ -16,6 +16,8 @@ LENGTH, ANCHOR = 50, 20
 SIDE = LENGTH - ANCHOR  # bytes that a string can have on either side of an anchor
 WINDOW = SIDE + 1  # anchors positions in a string, and strings around an anchor
 CONTEXT = LENGTH + SIDE
+#: Bits that hold a byte's place when strings choose their anchors; a text under 256 MB has enough.
+PLACE_BITS = 28
 #: Suffix arrays are built over groups of contexts of about so many bytes.
 ARRAY_BYTES = 120_000
 
@@ -98,13 +100,15 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the least hashed 20-byte strings of every 50-byte string that one document holds.
+def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of every 50-byte string that one document holds: position, hash, first and last string it stands for.
 
-    Equal 50-byte strings have the same anchors at the same places, whatever surrounds them.
+    The anchor of a string is the first of its least hashed 20-byte strings: equal strings have the same anchor
+    at the same place, whatever surrounds them, and each string has one.
     """
+    none = np.zeros(0, dtype=np.int64)
     if len(data) < LENGTH:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return none, np.zeros(0, dtype=np.uint64), none, none
     with np.errstate(over="ignore"):
         base, h, size, square = np.uint64(0x5851F42D4C957F2D), data.astype(np.uint64) + np.uint64(1), 1, None
         h4 = None
@@ -113,18 +117,20 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
             base, size = base * base, size * 2
             if size == 4:
                 h4, square = h, base
-        z = mix(h[: len(data) - ANCHOR + 1] * square + h4[16:]) | np.uint64(1)
-    least = _slide(z, WINDOW, np.minimum)  # by the first byte of each 50-byte string
+        z = mix(h[: len(data) - ANCHOR + 1] * square + h4[16:])
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    least = _slide(z & ~place | np.arange(len(z), dtype=np.uint64), WINDOW, np.minimum)  # by the first byte of each string
     ends = np.r_[starts[1:], len(data)]
     inside = np.zeros(len(data) + 1, dtype=np.int32)
     long = ends - starts >= LENGTH
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - LENGTH + 1, -1)
-    least[np.cumsum(inside[: len(least)]) == 0] = 0
-    pad = np.zeros(SIDE, dtype=np.uint64)
-    most = _slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum)
-    at = np.flatnonzero(z == most)
-    return at, z[at]
+    string = np.flatnonzero(np.cumsum(inside[: len(least)]))
+    if not len(string):
+        return none, np.zeros(0, dtype=np.uint64), none, none
+    owner = (least[string] & place).astype(np.int64)
+    head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    return owner[head], z[owner[head]], string[head], string[np.r_[head[1:], len(string)] - 1]
 
 
 def _parts(texts: list[bytes]):
@@ -135,53 +141,64 @@ def _parts(texts: list[bytes]):
         yield a, data, starts, *anchors(data, starts)
 
 
-def _contexts(data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The 80 bytes around each anchor, first and last byte that belong to its document, and the document."""
-    doc = np.searchsorted(starts, at, side="right") - 1
-    ends = np.r_[starts[1:], len(data)]
-    low = np.maximum(0, SIDE - (at - starts[doc])).astype(np.uint8)
-    high = np.minimum(CONTEXT, ends[doc] - at + SIDE).astype(np.uint8)
+def _contexts(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Around each anchor, at byte 30, the bytes of the strings it stands for, else zeros; their first and end."""
+    low, high = (SIDE - (at - first)).astype(np.uint8), (SIDE + LENGTH + last - at).astype(np.uint8)
     padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[at] if len(at) else np.zeros((0, CONTEXT), np.uint8)
     col = np.arange(CONTEXT)
     rows = np.where((col >= low[:, None]) & (col < high[:, None]), rows, 0).astype(np.uint8)
-    return np.concatenate([rows, low[:, None], high[:, None]], axis=1), doc, ends
+    return np.concatenate([rows, low[:, None], high[:, None]], axis=1)
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First occurrence of each distinct row of bytes, and the number of each row's kind."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    words = wide.view(np.uint64)
+    h = np.zeros(len(rows), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words.shape[1]):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[:, k] + np.uint64(k + 1))
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    inverse = inverse.ravel()
+    if not (words == words[first[inverse]]).all():  # two kinds under one hash
+        _, first, inverse = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return first, inverse.ravel()
 
 
-def _group_windows(ctx: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For each context and each of its 31 strings: the least document that has the string, by suffix arrays."""
+def _group_windows(key: np.ndarray, ctx: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each context and each of its strings: the least document that has the string, by a suffix array.
+
+    All contexts of an anchor have its 20 bytes in the same place: there they are one symbol of its own.
+    """
     n = len(ctx)
     out = np.full((n, WINDOW), NO_ID, dtype=np.int64)
-    flat: list[int] = []
-    for row in ctx[:, :CONTEXT]:
-        flat.extend((row.astype(np.int64) + 2).tolist())
-        flat.append(1)
-    flat.append(0)
-    order = np.array(suffix_array(flat), dtype=np.int64)
-    owner, offset = order // (CONTEXT + 1), order % (CONTEXT + 1)
-    ok = (owner < n) & (offset < WINDOW)
-    owner, offset = owner[ok], offset[ok]
-    ok = (offset >= ctx[owner, CONTEXT]) & (offset + LENGTH <= ctx[owner, CONTEXT + 1])
+    kind = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    symbols = ctx[:, :CONTEXT].astype(np.int64) + 2
+    symbols = np.concatenate([symbols[:, :SIDE], (kind + 258)[:, None], symbols[:, SIDE + ANCHOR :], np.ones((n, 1), np.int64)], axis=1)
+    column = np.r_[np.arange(SIDE + 1), np.arange(SIDE + ANCHOR, CONTEXT + 1)]
+    keep = ((column >= ctx[:, CONTEXT, None]) & (column < ctx[:, CONTEXT + 1, None])) | (column == CONTEXT)
+    row, col = np.nonzero(keep)
+    order = np.array(suffix_array(symbols[row, col].tolist() + [0]), dtype=np.int64)
+    order = order[order < len(row)]
+    owner, offset = row[order], column[col[order]]
+    ok = (offset < WINDOW) & (offset + LENGTH <= ctx[owner, CONTEXT + 1])
     owner, offset = owner[ok], offset[ok]
     if not len(owner):
         return out
     windows = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(ctx[:, :CONTEXT]), LENGTH, axis=1)[owner, offset]
-    first = np.r_[True, (windows[1:] != windows[:-1]).any(axis=1)]  # a common prefix of 50 bytes or less
+    first = np.r_[True, (windows[1:] != windows[:-1]).any(axis=1)]  # neighbours that agree over 50 bytes are one string
     heads = np.flatnonzero(first)
-    lows = np.minimum.reduceat(least[owner], heads)
-    out[owner, offset] = lows[np.cumsum(first) - 1]
+    out[owner, offset] = np.minimum.reduceat(least[owner], heads)[np.cumsum(first) - 1]
     return out
 
 
 def _resolve(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The least document of each string of each row; rows are anchors of one bucket, `ctx` with bounds."""
-    wide = np.ascontiguousarray(np.concatenate([ctx, key.astype(">u8").view(np.uint8).reshape(-1, 8)], axis=1))
-    kinds, inverse = np.unique(wide.view([("v", f"V{wide.shape[1]}")]).ravel(), return_inverse=True)
-    inverse = inverse.ravel()
-    m = len(kinds)
-    kind_rows = kinds.view(np.uint8).reshape(m, -1)
-    kind_key = kind_rows[:, CONTEXT + 2 :].copy().view(">u8").ravel().astype(np.uint64)
-    kind_ctx = kind_rows[:, : CONTEXT + 2]
+    of_key = key.astype(">u8").view(np.uint8).reshape(-1, 8)
+    some, inverse = _distinct(np.concatenate([ctx, of_key], axis=1))
+    m, kind_key, kind_ctx = len(some), key[some], ctx[some]
     least = np.full(m, NO_ID, dtype=np.int64)
     np.minimum.at(least, inverse, doc)
     offsets = np.arange(WINDOW)
@@ -189,10 +206,10 @@ def _resolve(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
     lows = np.where(valid, least[:, None], NO_ID)
     # a string that two contexts share reaches 15 bytes or more beyond the anchor on one side
     shared, half = np.zeros(m, dtype=bool), SIDE // 2
-    for a, b in ((SIDE - half, SIDE + ANCHOR), (SIDE, SIDE + ANCHOR + half)):
-        part = np.ascontiguousarray(np.concatenate([kind_ctx[:, a:b], kind_rows[:, CONTEXT + 2 :]], axis=1))
-        _, inv, count = np.unique(part.view([("v", f"V{part.shape[1]}")]).ravel(), return_inverse=True, return_counts=True)
-        shared |= count[inv.ravel()] > 1
+    for side, a, b in ((kind_ctx[:, CONTEXT] <= SIDE - half, SIDE - half, SIDE), (kind_ctx[:, CONTEXT + 1] >= SIDE + ANCHOR + half, SIDE + ANCHOR, SIDE + ANCHOR + half)):
+        at = np.flatnonzero(side)
+        _, inv = _distinct(np.concatenate([kind_ctx[at, a:b], of_key[some[at]]], axis=1))
+        shared[at] |= np.bincount(inv)[inv] > 1 if len(at) else False
     rows = np.flatnonzero(shared)
     rows = rows[np.argsort(kind_key[rows], kind="stable")]
     if len(rows):
@@ -201,7 +218,7 @@ def _resolve(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
         for h in heads[1:].tolist():  # whole groups, about ARRAY_BYTES at a time
             if (h - start) * CONTEXT >= ARRAY_BYTES or h == len(rows):
                 part = rows[start:h]
-                lows[part] = _group_windows(kind_ctx[part], least[part])
+                lows[part] = _group_windows(kind_key[part], kind_ctx[part], least[part])
                 start = h
     return lows[inverse]
 
@@ -220,7 +237,7 @@ def passage_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller id. Documents lie
     in blocks; four steps in one plan, all of them shuffles of packed arrays:
     1. each block asks for its anchors; buckets answer which ones lie in two documents or more;
-    2. each block sends the 80-byte contexts of those anchors to the anchor's bucket. Equal contexts count
+    2. each block sends the strings around those anchors, as contexts of up to 80 bytes, to the anchor's bucket. Equal contexts count
        once; contexts that may share a string are put together and a suffix array by linear grouping sorts
        them: neighbours that agree over 50 bytes are one string, whose least document is then known;
     3. spans whose string has a smaller document go back to the block, 4. where they are joined.
@@ -235,7 +252,7 @@ def passage_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     def ask(pdf):
         texts, (ids, _) = pdf["text"].tolist(), ids_of(pdf)
         keys, owners = [], []
-        for a, _, starts, at, z in _parts(texts):
+        for a, _, starts, at, z, _, _ in _parts(texts):
             keys.append(z)
             owners.append(ids[a + np.searchsorted(starts, at, side="right") - 1])
         keys, owners = np.concatenate(keys), np.concatenate(owners)
@@ -265,14 +282,14 @@ def passage_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         wanted = np.sort(np.concatenate([unpack(b)[0] for b in answers["blob"]]))
         texts, (ids, _) = pdf["text"].tolist(), ids_of(pdf)
         keys, ctxs, rows, places = [], [], [], []
-        for a, data, starts, at, z in _parts(texts):
+        for a, data, starts, at, z, first, last in _parts(texts):
             pos = np.searchsorted(wanted, z)
             pos[pos == len(wanted)] = 0
             yes = wanted[pos] == z if len(wanted) else np.zeros(len(z), dtype=bool)
             at, z = at[yes], z[yes]
-            ctx, doc, _ = _contexts(data, starts, at)
+            doc = np.searchsorted(starts, at, side="right") - 1
             keys.append(z)
-            ctxs.append(ctx)
+            ctxs.append(_contexts(data, at, first[yes], last[yes]))
             rows.append((a + doc).astype(np.int32))
             places.append((at - starts[doc]).astype(np.int64))
         keys, ctxs, rows, places = (np.concatenate(v) for v in (keys, ctxs, rows, places))
@@ -283,21 +300,19 @@ def passage_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 o = order[s:e]
                 o = o[np.argsort(keys[o], kind="stable")]
                 wide = np.ascontiguousarray(ctxs[o])
-                kinds, inverse = np.unique(np.concatenate([wide, keys[o].astype(">u8").view(np.uint8).reshape(-1, 8)], axis=1), axis=0, return_inverse=True)
-                out.append((b, int(pdf["block"].iloc[0]), pack(kinds, inverse.ravel().astype(np.int32), ids[rows[o]], rows[o], places[o])))
+                some, inverse = _distinct(np.concatenate([wide, keys[o].astype(">u8").view(np.uint8).reshape(-1, 8)], axis=1))
+                out.append((b, int(pdf["block"].iloc[0]), pack(wide[some], keys[o][some], inverse.astype(np.int32), ids[rows[o]], rows[o], places[o])))
         return pd.DataFrame(out, columns=["bucket", "block", "blob"])
 
     def resolve(pdf):
         parts = [unpack(b) for b in pdf["blob"]]
-        wide = np.concatenate([p[0][p[1]] for p in parts])
-        ids = np.concatenate([p[2] for p in parts])
-        lows = _resolve(wide[:, CONTEXT + 2 :].copy().view(">u8").ravel().astype(np.uint64), wide[:, : CONTEXT + 2], ids)
+        lows = _resolve(np.concatenate([p[1][p[2]] for p in parts]), np.concatenate([p[0][p[2]] for p in parts]), np.concatenate([p[3] for p in parts]))
         at, rows = 0, []
         for block, p in zip(pdf["block"], parts, strict=True):
-            low = lows[at : at + len(p[2])]
-            at += len(p[2])
-            r, a, b = _runs(low < p[2][:, None])
-            rows.append((int(block), pack(p[3][r], p[4][r] - SIDE + a, p[4][r] - SIDE + b + LENGTH)))
+            low = lows[at : at + len(p[3])]
+            at += len(p[3])
+            r, a, b = _runs(low < p[3][:, None])
+            rows.append((int(block), pack(p[4][r], p[5][r] - SIDE + a, p[5][r] - SIDE + b + LENGTH)))
         return pd.DataFrame(rows, columns=["block", "blob"])
 
     def join(pdf, spans):
