@@ -47,6 +47,7 @@ def pieces(texts: list[bytes]):
                 while size < REACH:
                     h, base, size = h[:-size] * base + h[size:], base * base, size * 2
             cuts = np.flatnonzero(mix(h) >> np.uint64(64 - CUT_BITS) == 0) + REACH
+            cuts = cuts[cuts - REACH >= starts[np.searchsorted(starts, cuts, side="left") - 1]]  # of one text alone
             edges = np.unique(np.concatenate([starts, cuts]))
             space = np.flatnonzero(SPACES[data])
             at = np.searchsorted(space, edges)

@@ -33,6 +33,12 @@ def test_pieces_encode_like_the_whole():
         assert b" ".join(g[2] for g in got if len(g[0])).decode() == t.decode(want.ids, skip_special_tokens=False)
 
 
+def test_pieces_do_not_depend_on_neighbours():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "be", "gamma,", "d"]) for _ in range(rng.randint(0, 300))).encode() for _ in range(60)]
+    assert [list(next(bpe.pieces([t]))) for t in texts] == [list(p) for p in bpe.pieces(texts)]
+
+
 def test_documents(spark):
     rows = corpus(6) + [(500 + k, "shared passage of words " * 60 + str(k)) for k in range(6)]
     t = bpe.tokenizer(PATH)
