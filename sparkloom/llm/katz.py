@@ -12,7 +12,7 @@ from sparkloom.llm.blocks import SPACES, by_bucket, chunks, ids_of, in_blocks, m
 
 #: Counts up to K are discounted.
 K = 5
-END, BEGIN = np.uint64(0), np.uint64(1)
+END = np.uint64(0)
 HELD_OUT_MOD, HELD_OUT = 7, 2
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -30,6 +30,10 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.r_[0, np.cumsum(np.concatenate(sizes))]
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if not len(x) or x.max() < 2**32 else x
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Good-Turing discounts d[0..K] from the numbers n_1..n_{K+1} of types seen so often; d[0] is unused.
 
@@ -87,14 +91,17 @@ class Block:
             yield b, (self.words[o], seen[o])
 
     def read_words(self, told: dict[int, tuple]) -> None:
-        """Counts of the block's words and what all buckets together know."""
-        count = np.zeros(len(self.words), dtype=np.int64)
+        """Counts and numbers of the block's words, and what all buckets together know."""
+        count, number = np.zeros(len(self.words), dtype=np.int64), np.zeros(len(self.words), dtype=np.uint64)
         tokens, types, small = 0, 0, np.zeros(K + 1, dtype=np.int64)
-        for b, (c, t, v, s) in told.items():
-            count[self.order[self.cuts[b] : self.cuts[b + 1]]] = c
+        for b, (c, t, v, s, steps) in told.items():
+            o = self.order[self.cuts[b] : self.cuts[b + 1]]
+            count[o] = c
+            number[o] = np.cumsum(steps, dtype=np.uint64) * np.uint64(self.n) + np.uint64(b + 1)
             tokens, types, small = tokens + t, types + v, small + s
         self.count, self.tokens, self.types, self.unigrams = count, tokens, types, Unigrams(tokens, small)
         self.small = small
+        self.numbers = np.r_[number, np.uint64(0)]  # 0: the place before a text's first word
 
     def pairs(self) -> None:
         """Distinct (previous word, word) pairs; the first word of a text follows BEGIN."""
@@ -104,9 +111,7 @@ class Block:
         wide = len(self.words) + 1
         codes, self.pair = np.unique(before * wide + self.word, return_inverse=True)
         self.context, self.follower = codes // wide, codes % wide
-        hashes = np.r_[self.words, BEGIN]
-        self.pair_order, self.pair_cuts = by_bucket(mix(hashes[self.context]), self.n)
-        self.hashes = hashes
+        self.pair_order, self.pair_cuts = by_bucket(mix(self.numbers)[self.context], self.n)
 
     def ask_pairs(self):
         seen = np.bincount(self.pair, weights=self.train, minlength=len(self.context)).astype(np.uint32)
@@ -115,7 +120,7 @@ class Block:
             context = self.context[o]
             heads = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(o) else np.zeros(0, dtype=np.int64)
             runs = np.diff(np.r_[heads, len(o)]).astype(np.uint32)
-            yield b, (self.hashes[context[heads]], runs, self.words[self.follower[o]], seen[o], self.count[self.follower[o]].astype(np.uint32), self.tokens, self.small)
+            yield b, (narrow(self.numbers[context[heads]]), runs, narrow(self.numbers[self.follower[o]]), seen[o], self.count[self.follower[o]].astype(np.uint32), self.tokens, self.small)
 
     def scores(self, told: dict[int, tuple]) -> np.ndarray:
         """log10 probability of each text: the discounted pair, else the backoff weight times the word's."""
@@ -139,7 +144,8 @@ class Block:
 
 
 def _merge_words(pdf):
-    """A bucket's words: how often each occurs in the training texts, told to every block that asked."""
+    """A bucket's words: how often each occurs in the training texts, told to every block that asked, with the
+    words' numbers in the bucket (as steps, since a block asks in the order of the hashes)."""
     parts = [unpack(b) for b in pdf["blob"]]
     keys, seen = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     _, inverse = np.unique(keys, return_inverse=True)
@@ -147,7 +153,9 @@ def _merge_words(pdf):
     small = np.array([(count == r).sum() for r in range(1, K + 2)], dtype=np.int64)
     at, rows = 0, []
     for block, p in zip(pdf["block"], parts, strict=True):
-        rows.append((int(block), 1, int(pdf["bucket"].iloc[0]), pack(count[inverse[at : at + len(p[0])]].astype(np.uint32), int(count.sum()), int((count > 0).sum()), small)))
+        mine = inverse[at : at + len(p[0])]
+        steps = np.diff(mine, prepend=0).astype(np.uint32)
+        rows.append((int(block), 1, int(pdf["bucket"].iloc[0]), pack(count[mine].astype(np.uint32), int(count.sum()), int((count > 0).sum()), small, steps)))
         at += len(p[0])
     return pd.DataFrame(rows, columns=["block", "kind", "bucket", "blob"])
 
@@ -155,8 +163,9 @@ def _merge_words(pdf):
 def _merge_pairs(pdf):
     """A bucket's pairs: counts, and per context its total, its small counts and the words' mass it has seen."""
     parts = [unpack(b) for b in pdf["blob"]]
-    context = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+    context = np.concatenate([np.repeat(p[0], p[1]) for p in parts]).astype(np.uint64)
     word, seen, count = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+    word = word.astype(np.uint64)
     unigrams = Unigrams(parts[0][5], parts[0][6])
     with np.errstate(over="ignore"):
         key = mix(context * np.uint64(0xC2B2AE3D27D4EB4F) + mix(word + np.uint64(7)))
