@@ -231,7 +231,7 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, a, b - 1
 
 
-def passage_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 16.0) -> DataFrame:
+def passage_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 10.0) -> DataFrame:
     """Per document: doc_id, text (UTF-8), starts and ends of the maximal byte spans to remove.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller id. Documents lie
@@ -356,7 +356,7 @@ def _sorted(pdf):
     return pdf.iloc[sorted(range(len(keys)), key=keys.__getitem__)].reset_index(drop=True)
 
 
-def passage_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 16.0) -> DataFrame:
+def passage_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 10.0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of `passage_spans`."""
 
     def digest(batches):
