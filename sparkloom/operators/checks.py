@@ -340,7 +340,7 @@ def undecided_proposals_never_published(x):
 
 @check
 def duplicates_agree(x):
-    merged = x.links.join(x.source, "source_row_id").groupBy("event_id").agg(F.min("content").alias("a"), F.max("content").alias("b"))
+    merged = x.links.join(x.source.select("source_row_id", "content"), "source_row_id").groupBy("event_id").agg(F.min("content").alias("a"), F.max("content").alias("b"))
     ruled = x.events.where(F.exists("quality_flags", lambda f: f.startswith("MERGE")) | _flagged("VALUES_DIFFER")).select("event_id")
     return _none(merged.where("a <> b").join(ruled, "event_id", "left_anti"))
 

@@ -8,7 +8,7 @@ import fnmatch
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.hashing import row_hash, canonical_cell, source_row_id
+from sparkloom.functions.hashing import canonical_cell, row_hash, source_row_id
 from sparkloom.functions.text import first_filled
 
 
@@ -29,8 +29,8 @@ def sniff(spark: SparkSession, path: str, head: int = 1 << 16) -> dict[str, obje
 def _cells(line: Column, delimiter: str, quoted: bool) -> Column:
     if not quoted:
         return F.split(line, f"\\Q{delimiter}\\E", -1)
-    pattern = rf'(?:^|\Q{delimiter}\E)("(?:[^"]|"")*"|(?:(?!\Q{delimiter}\E).)*)'
-    return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    pattern = rf'\Q{delimiter}\E("(?:[^"]|"")*"|(?:(?!\Q{delimiter}\E).)*)'  # each cell after a delimiter: no match is empty
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(pattern), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
 def delimited(spark: SparkSession, path: str, *, delimiter: str = ",", quoted: bool = True, header: int = 1, encoding: str = "UTF-8") -> DataFrame:
