@@ -13,8 +13,8 @@ from sparkloom.llm.blocks import SPACES, chunks, in_blocks, mix, pack, unpack
 
 #: A chunk ends where the rolling hash of 16 bytes has so many zero bits: every 256 bytes on average.
 CUT_BITS, REACH = 8, 16
-#: Pieces that a task remembers beside those that the corpus shares.
-REMEMBER = 20_000
+#: Words that a task remembers at most when it turns to the next documents.
+REMEMBER = 250_000
 
 
 def tokenizer(path: str):
@@ -68,31 +68,54 @@ def pieces(texts: list[bytes]):
 
 
 class Encoder:
-    """Ids and tokens of pieces; remembers two generations of them."""
+    """Ids of pieces as (number, decimal text, decoded text). White space parts words exactly, so a piece is put
+    together from its words; words that were met before are not encoded again."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.names = [t or "" for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))]
-        self.new: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
-
-    def entry(self, ids: list[int]) -> tuple[np.ndarray, bytes, bytes]:
-        return np.array(ids, dtype=np.uint32), " ".join(map(str, ids)).encode(), " ".join([self.names[i] for i in ids]).encode()
-
-    def encode(self, wanted: list[bytes]) -> list[tuple[np.ndarray, bytes, bytes]]:
-        """For each piece: ids, their decimal text, and the text that they decode to."""
-        missing = [p for p in dict.fromkeys(wanted) if p not in self.new and p not in self.old]
-        made = {}
-        for i in range(0, len(missing), 512):
-            part = missing[i : i + 512]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                made[p] = self.entry(e.ids)
-        out = [made.get(p) or self.new.get(p) or self.old[p] for p in wanted]
-        if len(self.new) + len(made) > REMEMBER:
-            self.old, self.new = self.new, {}
-        if len(made) <= REMEMBER:
-            self.new.update(made)
-        return out
+        self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.bell = ids("\a")[0] if ids("a \a b") == ids("a") + ids("\a") + ids("b") and len(ids("\a")) == 1 else None
+
+    def lists(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word. A call costs more than a word, so words go in lines, parted by a bell: a word of its
+        own with one id that no other byte makes. Words that hold a bell or may hold a special token go alone."""
+        alone = [w for w in words if self.bell is None or b"\a" in w or b"<|" in w]
+        rest = [w for w in words if not (self.bell is None or b"\a" in w or b"<|" in w)]
+        out = dict(zip(alone, (e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)), strict=True))
+        lines = [rest[i : i + 64] for i in range(0, len(rest), 64)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([b" \a ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
+            ids, at = e.ids, 0
+            for w in line[:-1]:
+                end = ids.index(self.bell, at)
+                out[w] = ids[at:end]
+                at = end + 1
+            out[line[-1]] = ids[at:]
+        return [out[w] for w in words]
+
+    def entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), " ".join(map(str, ids)).encode(), " ".join([self.names[i] for i in ids]).encode()
+
+    def encode(self, wanted: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        if len(self.words) > REMEMBER:
+            self.words.clear()
+        known, parts = self.words, [p.split() for p in wanted]
+        missing = [w for w in set().union(*parts) if w not in known]
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
+            for w, ids in zip(part, self.lists(part), strict=True):
+                known[w] = self.entry(ids)
+        return [joined([known[w] for w in words]) for words in parts]
+
+
+def joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+    parts = [p for p in parts if p[0]]
+    return sum([p[0] for p in parts]), b" ".join([p[1] for p in parts]), b" ".join([p[2] for p in parts])
+
+
+def ids_of_text(text: bytes) -> np.ndarray:
+    return np.array(text.split(), dtype=np.uint32)
 
 
 def _key(piece: bytes) -> bytes:
@@ -146,7 +169,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
             to.append(t)
         to = np.concatenate(to)
         kinds = list(dict.fromkeys(keys))
-        made = dict(zip(kinds, (e[0] for e in Encoder(path).encode([by_key[k] for k in kinds])), strict=True))
+        made = dict(zip(kinds, (ids_of_text(e[1]) for e in Encoder(path).encode([by_key[k] for k in kinds])), strict=True))
         rows = []
         for block in np.unique(to).tolist():
             mine = [keys[i] for i in np.flatnonzero(to == block).tolist()]
@@ -171,12 +194,12 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
         size, group = 0, []
 
         def flush():
-            local = iter(encoder.encode([p for doc in group for p, got in doc if got is None]))
+            fresh = list(dict.fromkeys(p for doc in group for p, got in doc if got is None))
+            local = dict(zip(fresh, encoder.encode(fresh), strict=True))
             for doc in group:
-                parts = [got if got is not None else next(local) for _, got in doc]
-                parts = [p for p in parts if len(p[0])]
-                row = [sum(len(p[0]) for p in parts), hashlib.sha256(b" ".join([p[1] for p in parts])).hexdigest(), hashlib.sha256(b" ".join([p[2] for p in parts])).hexdigest()]
-                rows.append(row + ([[int(x) for p in parts for x in p[0]]] if ids else []))
+                n, own, decoded = joined([got or local[p] for p, got in doc])
+                row = [n, hashlib.sha256(own).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                rows.append(row + ([ids_of_text(own).tolist()] if ids else []))
             group.clear()
 
         for doc in pieces(texts):
