@@ -83,9 +83,13 @@ def curriculum(docs: DataFrame, knots_of, *, id_col: str = "doc_id", source_col:
     per_source = sums.groupBy("unnamed", "name").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs"))
     per_source = per_source.select(F.when(F.col("unnamed"), None).otherwise(F.col("name")).alias("source"), "source_size", "n_docs")
     targets = source_targets(knots_of(per_source), max_repeats=max_repeats).withColumn("unnamed", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit(""))).drop("source")
-    along = Window.partitionBy("unnamed", "name").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
-    spans = sums.withColumn("before", F.sum("words").over(along) - F.col("words")).select("unnamed", "name", "span", "before")
-    spans = spans.join(targets, ["unnamed", "name"])
+    # prefix sums in two steps of 256 each: no window holds more than 256 rows, however large its source is
+    up_to = lambda keys, order: F.sum("words").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    sums = sums.withColumn("part", F.substring("span", 1, RANGE_DIGITS // 2))
+    parts = sums.groupBy("unnamed", "name", "part").agg(F.sum("words").alias("words"))
+    parts = parts.select("unnamed", "name", "part", up_to(["unnamed", "name"], "part").alias("ahead"))
+    spans = sums.withColumn("inside", up_to(["unnamed", "name", "part"], "span")).join(parts, ["unnamed", "name", "part"])
+    spans = spans.select("unnamed", "name", "span", (F.col("ahead") + F.col("inside")).alias("before")).join(targets, ["unnamed", "name"])
     within = Window.partitionBy("unnamed", "name", "span").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(spans, ["unnamed", "name", "span"]).withColumn("offset", F.col("before") + F.sum("size").over(within) - F.col("size"))
     middle = lambda k: k * F.col("source_size") + F.col("offset") + F.col("size") / F.lit(2.0)
