@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,3 +69,22 @@ def resolve_times(event: Column, alias: Column, available: Column, end: Column)
         say(end < e, "END_BEFORE_START"),
     )
     return F.struct(e.alias("event_time"), F.when(e.isNull() | a.isNull(), a).otherwise(F.greatest(a, e)).alias("available_time"), end.alias("end_time"), F.array_sort(flags).alias("flags"))
+
+
+def boundaries_between(a: Column, b: Column, unit: str) -> Column:
+    """How many hour or day boundaries lie between two times: both are cut to the unit first."""
+    size = {"hour": 3_600_000_000, "day": 86_400_000_000}[unit]
+    return ((micros(F.date_trunc(unit, a)) - micros(F.date_trunc(unit, b))) / size).cast("bigint")
+
+
+def offset_change_days(zone: str, first_year: int, last_year: int) -> list[dt.date]:
+    """Days on which a zone changes its offset, for the years that the data hold; a few per year, made on the driver."""
+    z, out = ZoneInfo(zone), []
+    day, end = dt.date(first_year, 1, 1), dt.date(last_year, 12, 31)
+    while day <= end:
+        a = dt.datetime.combine(day, dt.time(), z).utcoffset()
+        b = dt.datetime.combine(day + dt.timedelta(days=1), dt.time(), z).utcoffset()
+        if a != b:
+            out.append(day)
+        day += dt.timedelta(days=1)
+    return out

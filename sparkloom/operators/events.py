@@ -81,3 +81,29 @@ def partition_overlap(subjects: DataFrame) -> DataFrame:
 def trace(subject: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
     """Every event of the given subjects with the source rows behind it."""
     return events.join(subject.select("subject_id"), "subject_id", "left_semi").join(links, "event_id", "left")
+
+
+def birth_events(rows: DataFrame, subject: str, born: str) -> DataFrame:
+    """An untimed birth event per subject and date; its id ignores the date, so two dates are a disagreement."""
+    out = rows.where(F.col(born).isNotNull()).select(F.col(subject).alias("subject_id"), F.lit("birth").alias("kind"), F.col(born).cast("string").alias("value_text"))
+    return out.withColumn("event_id", event_identity(out, ["subject_id", "kind"], "birth:"))
+
+
+def death_events(rows: DataFrame, subject: str, at: str) -> DataFrame:
+    """A death per subject and time; its id leaves the source out, so that sources share it."""
+    out = rows.where(F.col(at).isNotNull()).select(F.col(subject).alias("subject_id"), F.lit("death").alias("kind"), F.col(at).alias("event_time"))
+    return out.withColumn("event_id", event_identity(out, ["subject_id", "kind", "event_time"], "death:"))
+
+
+def vital_status(rows: DataFrame, subject: str, status: str, dead: Sequence[str], timed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(redundant, quarantined) statements that a subject is dead: redundant if its death has a time, else refused."""
+    said = rows.where(F.lower(F.trim(F.col(status))).isin(*dead)).select(F.col(subject).alias("subject_id")).distinct()
+    known = timed.select("subject_id").distinct()
+    return said.join(known, "subject_id", "left_semi"), said.join(known, "subject_id", "left_anti").withColumn("reason", F.lit("DEATH_WITHOUT_TIME"))
+
+
+def coverage(declared: DataFrame, manifest: DataFrame) -> DataFrame:
+    """State of every declared (partition_id, source_id): present, empty or not_extracted."""
+    j = declared.join(manifest.select("partition_id", "source_id", "read"), ["partition_id", "source_id"], "left")
+    state = F.when(F.col("read").isNull(), "not_extracted").when(F.col("read") == 0, "empty").otherwise("present")
+    return j.select("partition_id", "source_id", state.alias("state"))

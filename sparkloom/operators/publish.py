@@ -126,3 +126,21 @@ def refuse_unmapped_build(star_vocabulary: str | None, stream_vocabulary: str |
     """A stream without vocabulary must not stand beside a star that was mapped with one."""
     if star_vocabulary and not stream_vocabulary:
         raise ValueError(f"the star was built with vocabulary {star_vocabulary}; the stream has none")
+
+
+def unit_concepts(units: DataFrame, mapping: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Concept of each unit: an approved mapping, else the concept with the unit's code; only of domain Unit."""
+    known = concepts.where("domain_id = 'Unit'").select("concept_id", "concept_code")
+    approved = mapping.join(known.select("concept_id"), "concept_id", "left_semi").select("unit", F.col("concept_id").alias("__m"))
+    by_code = known.groupBy(F.col("concept_code").alias("ucum")).agg(F.min("concept_id").alias("__c"))
+    return units.select("unit", "ucum").distinct().join(approved, "unit", "left").join(by_code, "ucum", "left").select("unit", F.coalesce("__m", "__c", F.lit(0)).alias("concept_id"))
+
+
+def audit(records: DataFrame, persons: DataFrame) -> DataFrame:
+    """Audit rows with the person they became, null where the subject was withheld."""
+    return records.join(persons.select("subject_id", "person_id"), "subject_id", "left")
+
+
+def source_description(spark, name: str, release: str, built) -> DataFrame:
+    """The one row that says what was converted and when."""
+    return spark.createDataFrame([(name, release, built)], "source_name string, source_release string, built_on date")

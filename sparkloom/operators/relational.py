@@ -187,3 +187,35 @@ def topk_dense(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     scored = pairs.select(F.col("q.query_id").alias("query_id"), "item_id", F.round(dot, 9).alias("cosine"))
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# samples and profiles ----------------------------------------------------------------------------
+
+
+def every_nth(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """Every n-th row in a total order, numbered without a single-partition window."""
+    return surrogate_keys(df, order, "__k").where(F.col("__k") % n == 0).drop("__k")
+
+
+def of_top_codes(df: DataFrame, code: str, n: int) -> DataFrame:
+    """The rows of the n commonest codes; ties by code. The list has n rows, so joining it back may broadcast."""
+    top = df.groupBy(code).agg(F.count("*").alias("code_rows")).orderBy(F.desc("code_rows"), code).limit(n)
+    return df.join(F.broadcast(top), code)
+
+
+def column_profile(df: DataFrame, columns: Sequence[str], safe: str = r"^[A-Za-z0-9#_ .\-/]{1,20}$", samples: int = 3) -> DataFrame:
+    """Per column: filled cells, distinct values, and the first few values that are safe to show."""
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])
+    values = df.select(F.explode(cells).alias("c")).select("c.name", "c.v").groupBy("name", "v").agg(F.count("*").alias("n"))
+    shown = values.where(F.col("v").rlike(safe)).withColumn("__i", F.row_number().over(Window.partitionBy("name").orderBy("v"))).where(F.col("__i") <= samples)
+    shown = shown.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("samples"))
+    counts = values.groupBy("name").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("filled"), F.count("v").alias("kinds"))
+    return counts.join(shown, "name", "left")
+
+
+def mark_linked(df: DataFrame, known: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Adds linked: whether the keys occur in any of the given frames."""
+    every = None
+    for k in known:
+        every = k.select(*keys) if every is None else every.unionByName(k.select(*keys))
+    return df.join(every.distinct().withColumn("__l", F.lit(True)), list(keys), "left").withColumn("linked", F.coalesce("__l", F.lit(False))).drop("__l")
