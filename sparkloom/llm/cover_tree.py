@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,7 +76,8 @@ class CoverTree:
         self.centre = np.array([n[0] for n in nodes])
         self.radius = np.array([n[1] for n in nodes])
         self.start, self.end = np.array([n[2] for n in nodes]), np.array([n[3] for n in nodes])
-        self.children = [np.array(n[5], dtype=np.int64) for n in nodes]
+        leaf = np.zeros(0, dtype=np.int64)
+        self.children = [np.array(n[5], dtype=np.int64) if n[5] else leaf for n in nodes]
 
     @staticmethod
     def reach(x: np.ndarray, rows: np.ndarray) -> float:
@@ -263,10 +266,11 @@ def _pair_tasks(placed: DataFrame, pairs: list[tuple[str, str]], least: float) -
 
     def pack(pdf):
         x = _unit(pdf["e"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [x.shape[1]], "ids": [pdf["id"].to_numpy().astype("<i8").tobytes()], "mult": [pdf["mult"].to_numpy().astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()]})
+        tree = CoverTree(x)  # once per block, not per pair
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "tree": [pickle.dumps((pdf["id"].to_numpy(np.int64), pdf["mult"].to_numpy(np.int64), tree), protocol=5)]})
 
     def match(pdf):
-        sides = {r.block: (np.frombuffer(r.ids, "<i8"), np.frombuffer(r.mult, "<i8"), CoverTree(np.frombuffer(r.x, "<f8").reshape(-1, r.dim))) for r in pdf.itertuples()}
+        sides = {b: pickle.loads(t) for b, t in zip(pdf["block"], pdf["tree"], strict=True)}
         a, b = (sides.get(k) for k in (pdf["a"].iloc[0], pdf["b"].iloc[0]))
         if a is None or b is None:
             return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
@@ -274,6 +278,6 @@ def _pair_tasks(placed: DataFrame, pairs: list[tuple[str, str]], least: float) -
         dual_traversal(a[2], b[2], least, links)
         return links.rows(a[0], b[0])
 
-    packed = placed.groupBy("block").applyInPandas(pack, "block string, dim int, ids binary, mult binary, x binary")
+    packed = placed.groupBy("block").applyInPandas(pack, "block string, tree binary")
     wanted = spark.createDataFrame([(p, q, end) for p, q in pairs for end in dict.fromkeys((p, q))], "a string, b string, block string")
     return packed.join(wanted, "block").groupBy("a", "b").applyInPandas(match, "id long, links long, root long")
