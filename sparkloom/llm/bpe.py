@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,7 +74,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.names = [t or "" for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))]
+        size = range(self.tokenizer.get_vocab_size())
+        self.names = [(t or "").encode() for t in map(self.tokenizer.id_to_token, size)]
+        self.decimals = [b"%d" % i for i in size]
         self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.bell = ids("\a")[0] if ids("a \a b") == ids("a") + ids("\a") + ids("b") and len(ids("\a")) == 1 else None
@@ -95,7 +98,7 @@ class Encoder:
         return [out[w] for w in words]
 
     def entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), " ".join(map(str, ids)).encode(), " ".join([self.names[i] for i in ids]).encode()
+        return len(ids), b" ".join([self.decimals[i] for i in ids]), b" ".join([self.names[i] for i in ids])
 
     def encode(self, wanted: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         if len(self.words) > REMEMBER:
@@ -109,6 +112,12 @@ class Encoder:
         return [joined([known[w] for w in words]) for words in parts]
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process: its words serve block after block."""
+    return Encoder(path)
+
+
 def joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
     parts = [p for p in parts if p[0]]
     return sum([p[0] for p in parts]), b" ".join([p[1] for p in parts]), b" ".join([p[2] for p in parts])
@@ -169,7 +178,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
             to.append(t)
         to = np.concatenate(to)
         kinds = list(dict.fromkeys(keys))
-        made = dict(zip(kinds, (ids_of_text(e[1]) for e in Encoder(path).encode([by_key[k] for k in kinds])), strict=True))
+        made = dict(zip(kinds, (ids_of_text(e[1]) for e in encoder_of(path).encode([by_key[k] for k in kinds])), strict=True))
         rows = []
         for block in np.unique(to).tolist():
             mine = [keys[i] for i in np.flatnonzero(to == block).tolist()]
@@ -182,7 +191,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
         if not len(pdf):
             return pd.DataFrame({c: [] for c in columns})
         given: dict[bytes, tuple] = {}
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for blob in lent["blob"]:
             keys, sizes, flat = unpack(blob)
             flat = flat.tolist()
