@@ -88,6 +88,9 @@ def test_simhash(spark):
     want = sorted((str(i), f"{f:016x}", str(least.get(low[f]))) for i, f in fps)
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
+    few = [(1, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, "other words here"), (None, "x y z"), (None, "x y z"), (None, None)]
+    stay = simhash.simhash_dedup(docs_of(spark, few))
+    assert sorted((str(r.doc_id), str(r.text)) for r in stay.collect()) == [("1", "a b c d"), ("3", "other words here"), ("None", "None"), ("None", "x y z")]
 
 
 @pytest.mark.parametrize("short", [2, 48])
