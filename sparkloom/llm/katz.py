@@ -34,21 +34,44 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32) if not len(x) or x.max() < 2**32 else x
 
 
+def smoothed(n: np.ndarray) -> np.ndarray | None:
+    """Simple Good-Turing: n_1..n_{K+1} on the line fitted to log n_r over log r; None if it falls no faster than 1/r.
+
+    Counts r that no type has are left out, and a count next to them stands for them as well: its number is
+    spread over half the way to its neighbours.
+    """
+    r = np.flatnonzero(n > 0) + 1
+    if len(r) < 2:
+        return None
+    below = np.r_[0, r[:-1]]
+    above = np.r_[r[1:], 2 * r[-1] - below[-1]]
+    slope, at_one = np.polyfit(np.log(r), np.log(n[r - 1] / (0.5 * (above - below))), 1)
+    return np.exp(at_one + slope * np.log(np.arange(1, K + 2))) if slope < -1 else None
+
+
+def katz_formula(n: np.ndarray) -> np.ndarray:
+    """d_1..d_K from n_1..n_{K+1}, which are all above zero."""
+    r = np.arange(1, K + 1)
+    most = (K + 1) * n[K] / n[0]
+    return ((r + 1) * n[1:] / n[:-1] / r - most) / (1 - most) if most != 1 else np.zeros(K)
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Good-Turing discounts d[0..K] from the numbers n_1..n_{K+1} of types seen so often; d[0] is unused.
 
-    Katz's formula where it gives values in (0, 1]; in small corpora, where it does not, one absolute discount
-    n1 / (n1 + 2 n2) is taken from each count up to K instead.
+    Katz's formula on the numbers as they are if it gives values in (0, 1], else on the smoothed numbers, where it
+    always does. Only where no falling line can be fitted (fewer than two numbers above zero, or n_r falls no
+    faster than 1/r, when Good-Turing would not discount at all) one absolute discount n1 / (n1 + 2 n2) is taken
+    from each count up to K.
     """
     n = np.asarray(counts, dtype=np.float64)
     out = np.ones(K + 1)
-    if (n > 0).all():
-        r = np.arange(1, K + 1)
-        most = (K + 1) * n[K] / n[0]
-        d = ((r + 1) * n[1:] / n[:-1] / r - most) / (1 - most) if most != 1 else np.zeros(K)
-        if ((d > 0) & (d <= 1)).all():
-            out[1:] = d
-            return out
+    for tried in (n if (n > 0).all() else None, smoothed(n)):
+        if tried is not None:
+            d = katz_formula(tried)
+            if ((d > 0) & (d <= 1)).all():
+                out[1:] = d
+                return out
     cut = n[0] / (n[0] + 2 * n[1]) if n[0] > 0 else 0.5
     out[1:] = 1 - min(cut, 0.99) / np.arange(1, K + 1)
     return out

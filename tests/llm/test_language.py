@@ -108,3 +108,22 @@ def test_katz_without_training_text(spark):
     rows = [(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
     got = katz.katz_scores(docs_of(spark, rows)).collect()
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(0, 0, 0.0, 0.0)}
+
+
+def test_discounts_stay_good_turing():
+    """Numbers of sf0.1/documents, for which Katz's formula on the raw numbers leaves (0, 1]."""
+    for n in ([207344, 59772, 25017, 14274, 13493, 7080], [1579638, 246704, 51653, 21705, 18939, 7580], [900, 200, 0, 50, 30, 0]):
+        seen = [(r, x) for r, x in enumerate(n, 1) if x]
+        width = lambda k: ((seen[k + 1][0] if k + 1 < len(seen) else 2 * seen[k][0] - seen[k - 1][0]) - (seen[k - 1][0] if k else 0)) / 2
+        x, y = [math.log(r) for r, _ in seen], [math.log(m / width(k)) for k, (_, m) in enumerate(seen)]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+        most = 6 ** (slope + 1)  # (K + 1) n_{K+1} / n_1 on the line
+        want = [(((r + 1) / r) ** (slope + 1) - most) / (1 - most) for r in range(1, 6)]
+        got = katz.discounts(np.array(n))[1:]
+        assert np.allclose(got, want) and all(0 < a < b <= 1 for a, b in zip(got, got[1:]))
+    r = np.arange(1, 6)
+    n = np.array([1000.0, 300, 140, 80, 50, 34])  # the formula holds as it is: nothing is smoothed
+    most = 6 * n[5] / n[0]
+    assert np.allclose(katz.discounts(n)[1:], ((r + 1) * n[1:] / n[:-1] / r - most) / (1 - most))
+    assert np.allclose(katz.discounts(np.array([5, 0, 0, 0, 0, 0]))[1:], 1 - 0.99 / r)
