@@ -68,6 +68,12 @@ def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return stuck if done is None else done.union(stuck)
 
 
+def _placed(rows: DataFrame, *last: str) -> DataFrame:
+    """`rows` with their position in the conversation; ties are broken by the columns `last`."""
+    order = Window.partitionBy("conv_id").orderBy("stuck", "level", F.asc_nulls_last("turn"), F.asc_nulls_last("call_id"), "k", F.col("kind") != "call", *last)
+    return rows.withColumn("position", F.row_number().over(order))
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per call, and per result that answers no call, in an order in which each call follows what it needs.
 
@@ -85,6 +91,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     Rows with a null conv_id or call_id link with nothing and stand alone; null arguments are no object; null
     content is null; null needs are none. Empty inputs give no rows; other columns are ignored.
     """
+    return _placed(_linked(calls, results, schemas)).select("conv_id", "position", "turn", "kind", "call_id", "name", "result_turn", "problems", "json")
+
+
+def _linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+    """The rows of `link_tool_calls` with stuck, level and k, by which they are placed."""
     nth = lambda t: F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(F.asc_nulls_first("turn"), t))
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
     c = c.withColumn("k", nth(F.xxhash64("name", "arguments")))
@@ -114,10 +125,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         F.when(is_call, _argument_problems(F.col("arguments"), F.col("fields"))).otherwise(F.array().cast("array<string>")),
     )
     turn = F.coalesce("turn", "result_turn")
-    order = Window.partitionBy("conv_id").orderBy((F.coalesce("level", F.lit(0)) < 0), F.coalesce("level", F.lit(0)), F.asc_nulls_last(turn), F.asc_nulls_last("call_id"), "k", ~is_call)
     record = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "call_id", F.col("content").alias("content"), "name", F.col("problems").alias("problems")), {"ignoreNullFields": "false"})
-    out = out.withColumn("problems", problems).withColumn("position", F.row_number().over(order))
-    return out.select("conv_id", "position", turn.alias("turn"), F.when(is_call, "call").otherwise("result").alias("kind"), "call_id", "name", "result_turn", "problems", record.alias("json"))
+    level = F.coalesce("level", F.lit(0))
+    out = out.withColumn("problems", problems)
+    return out.select("conv_id", turn.alias("turn"), F.when(is_call, "call").otherwise("result").alias("kind"), "call_id", "name", "result_turn", "problems", record.alias("json"), (level < 0).alias("stuck"), level.alias("level"), "k")
 
 
 def tool_messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,3 +156,28 @@ def exchanges_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = conversations.where(F.col("role") == "user").select("conv_id", "turn", name(t).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(t >= 2, F.array(name(t - 2))).alias("needs"))
     results = conversations.where(F.col("role") == "assistant").select("conv_id", "turn", name(t - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
+
+
+def chat_messages(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Every message of the table: linked exchanges and tool calls, and a row of its own for any other message.
+
+    Returns the columns of `link_tool_calls` and role. A user's and an assistant's message are read as by
+    `exchanges_as_calls`, an assistant's tool calls and a tool's results as by `tool_messages`; their identifiers
+    are prefixed with `exchange:` and `tool:`, so that neither is taken for the other. All other messages (system,
+    other roles, no role, a tool's without an identifier) are rows of kind "message" with their role, and with
+    role and content as json; they stand at their turn, after the calls that begin there.
+    """
+    def named(frame: DataFrame, origin: str) -> DataFrame:
+        say = lambda c: F.concat(F.lit(f"{origin}:"), c)
+        out = frame.withColumn("call_id", say(F.col("call_id")))
+        return out.withColumn("needs", F.transform("needs", say)) if "needs" in out.columns else out
+
+    asked, answered = exchanges_as_calls(conversations)
+    called, returned = tool_messages(conversations)
+    linked = _linked(named(asked, "exchange").unionByName(named(called, "tool")), named(answered, "exchange").unionByName(named(returned, "tool")), schemas)
+    result = (F.col("role") == "tool") & F.try_variant_get(F.try_parse_json("text"), "$.tool_call_id", "string").isNotNull()
+    rest = conversations.where(~F.coalesce(F.col("role").isin("user", "assistant") | result, F.lit(False)))
+    record = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
+    others = rest.select("conv_id", "turn", F.lit("message").alias("kind"), "role", F.array().cast("array<string>").alias("problems"), record.alias("json"), F.lit(False).alias("stuck"), F.lit(0).alias("level"), F.lit(0).alias("k"))
+    rows = _placed(linked.unionByName(others, allowMissingColumns=True), "json")
+    return rows.select("conv_id", "position", "turn", "kind", "role", "call_id", "name", "result_turn", "problems", "json")

@@ -55,3 +55,41 @@ def test_long_chain_and_empty(spark):
     got = rows(spark, [(1, 0, "assistant", {"tool_calls": chain})])
     assert [r["call_id"] for r in got] == [f"c{k}" for k in range(7, -1, -1)]
     assert rows(spark, []) == []
+
+
+def test_every_message_is_there(spark):
+    messages = [
+        (1, 0, "system", "be brief"),
+        (1, 1, "user", "weather?"),
+        (1, 2, "assistant", json.dumps({"tool_calls": [call("1:1", "get", {"city": "Ulm"})]})),
+        (1, 3, "tool", json.dumps({"tool_call_id": "1:1", "content": "sun"})),
+        (1, 4, "tool", "no json {"),
+        (1, 5, "developer", "x"),
+        (1, 6, None, None),
+        (2, 0, "system", "alone"),
+        (None, 0, "system", "no conversation"),
+    ]
+    conv = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    schemas = chat_format.schemas_of(spark, TOOLS | {"reply": {"prompt": ("string", True), "turn": ("integer", True)}})
+    got = sorted(chat_format.chat_messages(conv, schemas).collect(), key=lambda r: (str(r.conv_id), r.position))
+    assert [(r.conv_id, r.position, r.turn, r.kind, r.role, r.call_id, r.result_turn, r.problems) for r in got] == [
+        (1, 1, 0, "message", "system", None, None, []),
+        (1, 2, 1, "call", None, "exchange:1:1", 2, []),
+        (1, 3, 2, "call", None, "tool:1:1", 3, []),
+        (1, 4, 4, "message", "tool", None, None, []),
+        (1, 5, 5, "message", "developer", None, None, []),
+        (1, 6, 6, "message", None, None, None, []),
+        (2, 1, 0, "message", "system", None, None, []),
+        (None, 1, 0, "message", "system", None, None, []),
+    ]
+    assert [r.json for r in got if r.kind == "message"][:4] == ['{"content":"be brief","role":"system"}', '{"content":"no json {","role":"tool"}', '{"content":"x","role":"developer"}', '{"content":null,"role":null}']
+    assert json.loads(got[2].json)["content"] == "sun"
+
+
+def test_registered_query_has_every_message(spark, tmp_path):
+    from sparkloom.llm.queries import QUERIES
+
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "tool", "t"), (1, 4, None, "n")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["op1_chat_messages"](spark, str(tmp_path)).collect()
+    assert sorted(t for r in got for t in (r.turn, r.result_turn) if t is not None) == [0, 1, 2, 3, 4]
