@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, curriculum, exact_dedup, ordinal, simhash
+from sparkloom.llm import bpe, curriculum, exact_dedup, ordinal, shingle_dedup
 from sparkloom.llm.common import cut, table
 
 #: No SQL expresses the classifier, SimHash or the tokenizer.
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.simhash_dedup(docs)
+    """One document of each group of near copies: five-word shingles with a similarity of 0.8, or op10's fingerprints."""
+    return shingle_dedup.near_copy_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

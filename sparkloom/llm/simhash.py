@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import connected_components, cut
@@ -159,6 +159,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def components_of_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, component) of distinct texts: the key of a text, and the least key of its near copies."""
+    keyed = docs.select(text_key(F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
+    return near_duplicates(keyed).select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")).distinct()
+
+
+def one_of_each(docs: DataFrame, comps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` without those that `comps` (node, component; nodes are text keys) makes copies of others.
+
+    The row with the least id stays, a null id last; of rows with equal text likewise one.
+    """
+    rows = docs.select(text_key(F.col(text_col)).alias("node"), F.col(id_col).alias("id"))
+    best = rows.join(comps, "node").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best")).select(F.col("best.node").alias("node"))
+    gone = comps.join(best, "node", "left_anti").select(F.col("node").alias("__gone"))
+    out = docs.join(gone, text_key(docs[text_col]) == F.col("__gone"), "left_anti")
+    if not rows.groupBy("node").count().where("count > 1").take(1):
+        return out
+    w = Window.partitionBy(text_key(F.col(text_col))).orderBy(F.asc_nulls_last(id_col), F.xxhash64(*[F.col(c) for c in docs.columns]))
+    return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay: of each component the document that names it, and one row of that.
 
