@@ -185,12 +185,8 @@ def one_of_each(docs: DataFrame, comps: DataFrame, id_col: str, text_col: str) -
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each component the document that names it, and one row of that.
+    """The rows of `docs` that stay: one of each component, the one with the least id, a null id last.
 
-    A row without an id names no component: such rows stay, one of each text.
+    Rows are told apart by 64-bit hashes of their texts, so unrelated texts under one id or none are rows of their own.
     """
-    stays = near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    found = docs.join(stays, docs[id_col] == F.col("__keep"), "left_semi")
-    w = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    found = found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return found.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    return one_of_each(docs, components_of_texts(docs, text_col), id_col, text_col)

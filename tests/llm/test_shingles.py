@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from sparkloom.llm import shingle_dedup
+from sparkloom.llm import shingle_dedup, simhash
 from tests.llm.test_dedup import brute_fingerprint, corpus, docs_of
 
 
@@ -69,3 +69,12 @@ def test_repeated_and_null_ids(spark):
     assert (5, t[0][1]) in left and (3, t[6][1]) in left and len(left) == 4
     assert sum(i is None for i, _ in left) == 2
     assert shingle_dedup.near_copy_dedup(docs_of(spark, [])).count() == 0
+
+
+def test_simhash_dedup_with_repeated_and_null_ids(spark):
+    rng = random.Random(7)
+    a, b, c = (" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(3))
+    upper = str.upper  # another text with the same fingerprint
+    rows = [(5, a), (5, b), (3, upper(a)), (None, c), (None, upper(c))]
+    left = [(r.doc_id, r.text) for r in simhash.simhash_dedup(docs_of(spark, rows)).collect()]
+    assert sorted(left, key=str)[:2] == [(3, upper(a)), (5, b)] and len(left) == 3 and left.count((None, c)) + left.count((None, upper(c))) == 1
