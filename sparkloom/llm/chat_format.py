@@ -69,9 +69,20 @@ def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _placed(rows: DataFrame, *last: str) -> DataFrame:
-    """`rows` with their position in the conversation; ties are broken by the columns `last`."""
-    order = Window.partitionBy("conv_id").orderBy("stuck", "level", F.asc_nulls_last("turn"), F.asc_nulls_last("call_id"), "k", F.col("kind") != "call", *last)
-    return rows.withColumn("position", F.row_number().over(order))
+    """`rows` with their position in the conversation; ties are broken by the columns `last`.
+
+    Rows are cut into ranges over all conversations and numbered within (range, conversation); a conversation's
+    counts in the ranges before give the offset. A conversation with a third of all rows spreads over the ranges.
+    """
+    order = ["stuck", "level", F.asc_nulls_last("turn"), F.asc_nulls_last("call_id"), "k", F.col("kind") != "call", *last]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once: a range partitioning that is computed twice may draw other bounds
+    ranged = cut(rows.repartitionByRange(n, "conv_id", *order).withColumn("part", F.spark_partition_id()))
+    counts = ranged.groupBy("part", "conv_id").agg(F.count("*").alias("n"))
+    ahead = counts.select("part", F.col("conv_id").alias("of"), (F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n")).alias("ahead"))
+    numbered = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part", "conv_id").orderBy(*order)))
+    found = numbered.withColumnRenamed("part", "p").join(ahead, (F.col("p") == F.col("part")) & F.col("conv_id").eqNullSafe(F.col("of")))
+    return found.withColumn("position", (F.col("ahead") + F.col("nth")).cast("int"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -81,10 +92,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     `results`: conv_id, turn, call_id, content. `schemas`: name, fields (see `schemas_of`).
     Returns conv_id, position, turn, kind ("call" or "result"), call_id, name, result_turn, problems, json.
 
-    Calls and results meet in a hash join on (conv_id, call_id, k): the k-th call with an identifier, by turn,
-    meets the k-th result with it. Within a conversation calls stand by level, then turn, then identifier: the
-    level is 0 where every need stands at an earlier turn, so that turns already are a topological order; only
-    conversations that break this are peeled level by level. Problems name unanswered calls, results without
+    Calls and results meet in a shuffled hash join on (conv_id, call_id, k): the k-th call with an identifier, by
+    turn, meets the k-th result with it. Within a conversation calls stand by level, then turn (a null turn comes
+    last), then identifier: the level is 0 where every need stands at an earlier turn, so that turns already are a
+    topological order; only conversations that break this are peeled level by level. Problems name unanswered calls, results without
     call, results before their call, needs that don't exist, cycles, and arguments that the schema refuses. A
     cycle's calls stand last, by turn. `json` has sorted keys, canonical arguments (null if they are no JSON).
 
@@ -96,20 +107,22 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 
 def _linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """The rows of `link_tool_calls` with stuck, level and k, by which they are placed."""
-    nth = lambda t: F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(F.asc_nulls_first("turn"), t))
+    alone = lambda t: F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), F.xxhash64("turn", t))  # noqa: E731  (these link with nothing: no group)
+    nth = lambda t: F.row_number().over(Window.partitionBy("conv_id", "call_id", alone(t)).orderBy(F.asc_nulls_first("turn"), t))
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
     c = c.withColumn("k", nth(F.xxhash64("name", "arguments")))
     r = results.select("conv_id", F.col("turn").alias("result_turn"), "call_id", "content")
     r = r.withColumnRenamed("result_turn", "turn").withColumn("k", nth(F.xxhash64("content"))).withColumnRenamed("turn", "result_turn").withColumn("answered", F.lit(True))
-    linked = c.withColumn("called", F.lit(True)).join(r, ["conv_id", "call_id", "k"], "full_outer").join(schemas.select("name", "fields"), "name", "left")
+    linked = c.withColumn("called", F.lit(True)).join(r.hint("shuffle_hash"), ["conv_id", "call_id", "k"], "full_outer").join(schemas.select("name", "fields"), "name", "left")
 
-    at = c.where("k = 1").select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
+    at = c.where("k = 1").select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"), F.lit(True).alias("exists"))
     need = c.where(F.size("needs") > 0).select("conv_id", "call_id", "turn", F.explode(F.array_distinct("needs")).alias("need")).join(at, ["conv_id", "need"], "left")
-    lacking = need.groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set(F.when(F.col("need_turn").isNull(), F.concat(F.lit("needs unknown "), "need")))).alias("lacking"))
-    late = cut(need.where("need_turn >= turn").select("conv_id").distinct())
+    lacking = need.groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set(F.when(F.col("exists").isNull(), F.concat(F.lit("needs unknown "), "need")))).alias("lacking"))
+    earlier = F.col("need_turn").isNotNull() & (F.col("turn").isNull() | (F.col("need_turn") < F.col("turn")))  # null turns stand last
+    late = cut(need.where(F.col("exists") & ~earlier).select("conv_id").distinct())
     peeled = _levels(
         c.where("k = 1").join(late, "conv_id", "left_semi").select("conv_id", "call_id"),
-        need.where("need_turn IS NOT NULL").join(late, "conv_id", "left_semi").select("conv_id", "call_id", F.col("need").alias("needs")).distinct(),
+        need.where("exists").join(late, "conv_id", "left_semi").select("conv_id", "call_id", F.col("need").alias("needs")).distinct(),
     ) if late.take(1) else None
     out = linked.join(lacking, ["conv_id", "call_id"], "left")
     out = out.join(peeled, ["conv_id", "call_id"], "left") if peeled is not None else out.withColumn("level", F.lit(0))

@@ -13,13 +13,6 @@ from sparkloom.llm.common import cut, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_format.exchanges_as_calls(table(spark, sf_dir, "conversations"))
-    schemas = chat_format.schemas_of(spark, {"reply": {"prompt": ("string", True), "turn": ("integer", True)}})
-    out = chat_format.link_tool_calls(calls, results, schemas)
-    return out.select("conv_id", "position", "turn", "kind", "call_id", "result_turn", F.array_join("problems", "; ").alias("problems"), F.sha2("json", 256).alias("json_sha256"))
-
-
-def op1_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     schemas = chat_format.schemas_of(spark, {"reply": {"prompt": ("string", True), "turn": ("integer", True)}})
     out = chat_format.chat_messages(table(spark, sf_dir, "conversations"), schemas)
     return out.select("conv_id", "position", "turn", "kind", "role", "call_id", "result_turn", F.array_join("problems", "; ").alias("problems"), F.sha2("json", 256).alias("json_sha256"))
@@ -71,7 +64,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
-    "op1_chat_messages": op1_chat_messages,
     "op2_cover_tree": op2_cover_tree,
     "op3_ordinal_quality": op3_ordinal_quality,
     "op5_suffix_dedup": op5_suffix_dedup,
@@ -85,26 +77,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
-WITH c AS (
-  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text, CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS need
-  FROM conversations WHERE role = 'user'),
-r AS (SELECT conv_id, turn AS result_turn, conv_id || ':' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
-j AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.result_turn) AS turn, coalesce(c.call_id, r.call_id) AS call_id,
-         r.result_turn, c.text, r.content, c.call_id IS NOT NULL AS is_call, c.need, p.call_id IS NULL AS no_need, r.call_id IS NULL AS no_result, c.turn AS asked
-  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id LEFT JOIN c p ON p.conv_id = c.conv_id AND p.call_id = c.need),
-k AS (
-  SELECT *, list_concat(list_concat(list_concat(
-      CASE WHEN is_call AND no_result THEN ['no result'] ELSE []::VARCHAR[] END, CASE WHEN NOT is_call THEN ['no call'] ELSE []::VARCHAR[] END),
-      CASE WHEN need IS NOT NULL AND no_need THEN ['needs unknown ' || need] ELSE []::VARCHAR[] END),
-      CASE WHEN is_call AND text IS NULL THEN ['missing prompt'] ELSE []::VARCHAR[] END) AS problems
-  FROM j)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, call_id)::INT AS position, turn,
-       CASE WHEN is_call THEN 'call' ELSE 'result' END AS kind, call_id, result_turn, array_to_string(problems, '; ') AS problems,
-       sha256(json_object('arguments', CASE WHEN is_call THEN json_object('prompt', text, 'turn', asked) END, 'call_id', call_id, 'content', content,
-                          'name', CASE WHEN is_call THEN 'reply' END, 'problems', problems)::VARCHAR) AS json_sha256
-FROM k""",
-    "op1_chat_messages": r"""
 WITH c AS (
   SELECT conv_id, turn, 'exchange:' || conv_id || ':' || turn AS call_id, text, CASE WHEN turn >= 2 THEN 'exchange:' || conv_id || ':' || (turn - 2) END AS need
   FROM conversations WHERE role = 'user'),

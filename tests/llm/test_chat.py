@@ -91,5 +91,31 @@ def test_registered_query_has_every_message(spark, tmp_path):
 
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "tool", "t"), (1, 4, None, "n")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = QUERIES["op1_chat_messages"](spark, str(tmp_path)).collect()
+    got = QUERIES["op1_chat_format"](spark, str(tmp_path)).collect()
     assert sorted(t for r in got for t in (r.turn, r.result_turn) if t is not None) == [0, 1, 2, 3, 4]
+
+
+def test_null_turns(spark):
+    schemas = chat_format.schemas_of(spark, TOOLS)
+    calls = [(1, 2, "b", "get", '{"city":"x"}', ["a"]), (1, None, "a", "get", '{"city":"x"}', None), (1, None, "c", "get", '{"city":"x"}', ["b"]), (1, None, "d", "get", '{"city":"x"}', ["c", "zz"])]
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    r = spark.createDataFrame([(1, None, "a", "ok")], "conv_id long, turn long, call_id string, content string")
+    got = sorted(chat_format.link_tool_calls(c, r, schemas).collect(), key=lambda x: x.position)
+    assert [(x.call_id, x.problems) for x in got] == [("a", []), ("b", ["no result"]), ("c", ["no result"]), ("d", ["no result", "needs unknown zz"])]
+
+
+def test_calls_and_results_meet_in_a_hash_join(spark):
+    c = spark.createDataFrame([], "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    r = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    plan = chat_format._linked(c, r, chat_format.schemas_of(spark, TOOLS))._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [conv_id" in plan and "FullOuter" in plan
+
+
+def test_positions_of_a_hot_conversation(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"t{t}") for t in range(400)] + [(None, t % 7, "system", "s") for t in range(50)] + [(k, 0, "user", "x") for k in range(2, 30)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat_format.chat_messages(conv, chat_format.schemas_of(spark, {"reply": {"prompt": ("string", True)}})).collect()
+    for c in {r.conv_id for r in got}:
+        mine = sorted((r for r in got if r.conv_id == c), key=lambda r: r.position)
+        assert [r.position for r in mine] == list(range(1, len(mine) + 1))
+        assert [r.turn for r in mine] == sorted(r.turn for r in mine)
