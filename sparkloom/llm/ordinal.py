@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.blocks import chunks, word_spans
+from sparkloom.llm.common import fresh
 
 BITS = 20
 #: Lengths in bytes of the word beginnings that are features beside the words.
@@ -18,6 +19,8 @@ STEMS = (4, 5)
 BINS = 12
 #: Labelled rows that the model is fitted on: those with the least hashes of their ids.
 MAX_TRAINING_ROWS = 12_000
+#: Of these, rows are taken in that order while their texts together have at most so many bytes (the first always is).
+MAX_TRAINING_BYTES = 64_000_000
 
 _BYTE = np.arange(256)
 _LOWER, _UPPER = (_BYTE >= 97) & (_BYTE <= 122), (_BYTE >= 65) & (_BYTE <= 90)
@@ -100,17 +103,39 @@ class OrdinalModel:
         return np.add.reduceat(self.weights[flat], bounds[:-1]) if len(texts) else np.zeros(0)
 
 
+def slopes(score: float, cut: np.ndarray, grade: int) -> tuple[float, np.ndarray]:
+    """Derivatives of -log P(grade) by the score and by each threshold."""
+    by_cut = np.zeros(len(cut))
+    upper = _sigmoid(cut[grade] - score) if grade < len(cut) else 1.0
+    lower = _sigmoid(cut[grade - 1] - score) if grade > 0 else 0.0
+    p = max(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper), lower * (1 - lower)
+    if grade < len(cut):
+        by_cut[grade] = -du / p
+    if grade > 0:
+        by_cut[grade - 1] = dl / p
+    return (du - dl) / p, by_cut
+
+
+def thresholds_of(first: float, log_gaps: np.ndarray) -> np.ndarray:
+    """Thresholds from the lowest one and the logarithms of the gaps above it: whatever these are, they are in order."""
+    return first + np.r_[0.0, np.cumsum(np.exp(log_gaps))]
+
+
 def fit(flat: np.ndarray, bounds: np.ndarray, grades: np.ndarray, top: int, *, epochs: int = 5, rate: float = 0.4, l1: float = 0.23, seed: int = 7) -> OrdinalModel:
     """Fits by likelihood, row after row with a rate per weight; l1 (times the root of the number of rows) keeps
     the weights of chance words at zero.
 
-    Thresholds start at the grades' shares and are kept in order through their gaps.
+    Thresholds start at the grades' shares. What is fitted is the lowest one and the logarithm of each gap, so
+    that they stay in order and apart.
     """
     n = len(grades)
     l1 = l1 * np.sqrt(n)
     share = (np.bincount(grades, minlength=top + 1) + 0.5) / (n + 0.5 * (top + 1))
     below = np.clip(np.cumsum(share)[:-1], 1e-3, 1 - 1e-3)
-    cut = np.log(below / (1 - below))
+    start = np.log(below / (1 - below))
+    first, log_gaps = start[0], np.log(np.maximum(np.diff(start), 1e-3))
+    cut = thresholds_of(first, log_gaps)
     z, square = np.zeros(WIDTH), np.zeros(WIDTH)
     w = np.zeros(WIDTH)
     rng = np.random.default_rng(seed)
@@ -121,22 +146,18 @@ def fit(flat: np.ndarray, bounds: np.ndarray, grades: np.ndarray, top: int, *, e
             zi = z[at]
             wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1 + np.sqrt(square[at])) / rate + 0.01))
             w[at] = wi
-            s = wi.sum()
-            upper = _sigmoid(cut[y] - s) if y < top else 1.0
-            lower = _sigmoid(cut[y - 1] - s) if y > 0 else 0.0
-            p = max(upper - lower, 1e-9)
-            du, dl = upper * (1 - upper), lower * (1 - lower)
-            g = (du - dl) / p  # of -log p by the score
+            g, by_cut = slopes(wi.sum(), cut, y)
             grown = square[at] + g * g
             z[at] += g - (np.sqrt(grown) - np.sqrt(square[at])) / rate * wi
             square[at] = grown
             steps += 1
             step = 0.5 / np.sqrt(steps + 10)
-            if y < top:
-                cut[y] += step * min(du / p, 5.0)
-            if y > 0:
-                cut[y - 1] -= step * min(dl / p, 5.0)
-            cut = np.maximum.accumulate(cut)
+            by_cut = np.clip(by_cut, -5.0, 5.0)
+            first -= step * by_cut.sum()
+            if top > 1:  # a gap moves every threshold above it
+                above = np.cumsum(by_cut[::-1])[::-1][1:]
+                log_gaps = np.clip(log_gaps - step * np.exp(log_gaps) * above, -7.0, 7.0)
+            cut = thresholds_of(first, log_gaps)
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1 + np.sqrt(square)) / rate + 0.01))
     return OrdinalModel(w, cut)
 
@@ -148,13 +169,18 @@ def graded(labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     return rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, grades: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", top: int = 2, max_rows: int = MAX_TRAINING_ROWS, **options) -> OrdinalModel | None:
-    """Fits on at most `max_rows` graded documents, picked by a hash of the id; None without any.
+def train(docs: DataFrame, grades: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", top: int = 2, max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES, **options) -> OrdinalModel | None:
+    """Fits on at most `max_rows` graded documents of at most `max_bytes` of text, picked by a hash of the id; None without any.
 
-    Features are made on the executors; the driver gets their indexes, bounded by `max_rows`.
+    Features are made on the executors; the driver gets their indexes, bounded by `max_rows` and `max_bytes`.
     """
     picked = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    sizes = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.xxhash64("doc_id").alias("at")).toPandas()
+    sizes = sizes.sort_values(["at", "doc_id"], ignore_index=True)
+    if len(sizes) and sizes["bytes"].sum() > max_bytes:
+        upto = max(1, int((sizes["bytes"].cumsum() <= max_bytes).sum()))
+        picked = picked.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in sizes["doc_id"][:upto]], "doc_id long")), "doc_id")
 
     def encode(batches):
         for pdf in batches:
@@ -166,7 +192,7 @@ def train(docs: DataFrame, grades: DataFrame, *, id_col: str = "doc_id", text_co
     if not len(found):
         return None
     found = found.sort_values(["doc_id", "index"], ignore_index=True)
-    parts = [np.frombuffer(x, "<i4").astype(np.int64) for x in found["index"]]
+    parts = [np.frombuffer(x, "<i4").astype(np.int64) for x in found.pop("index")]
     return fit(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), found["grade"].to_numpy(), top, **options)
 
 
@@ -192,6 +218,6 @@ def classify(docs: DataFrame, model: OrdinalModel | None, *, id_col: str = "doc_
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel | None, *, text_col: str = "text", least: float = 0.7) -> DataFrame:
-    """The rows of `docs` whose text the model accepts, with their columns."""
-    name = "__p"
+    """The rows of `docs` whose text the model accepts, with their columns, which may have any name."""
+    (name,) = fresh(docs, "p_tail")
     return docs.withColumn(name, _probabilities(model, F.col(text_col))["p_tail"]).where(F.col(name) >= least).drop(name)

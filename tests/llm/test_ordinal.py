@@ -47,3 +47,55 @@ def test_odd_inputs(spark):
     none = ordinal.train(docs, ordinal.graded(labels.where("false")))
     assert none is None and {r.keep for r in ordinal.classify(docs, none).collect()} == {True}
     assert ordinal.classify(docs_of(spark, []), model).count() == 0
+
+
+def test_slopes_are_those_of_the_likelihood():
+    import math
+
+    def loss(score, cut, grade):
+        below = [0.0] + [1 / (1 + math.exp(-(c - score))) for c in cut] + [1.0]
+        return -math.log(below[grade + 1] - below[grade])
+
+    rng, e = np.random.default_rng(1), 1e-6
+    for _ in range(200):
+        k = int(rng.integers(1, 5))
+        cut, score, grade = np.sort(rng.normal(size=k) * 2) + np.arange(k) * 0.05, float(rng.normal()), int(rng.integers(0, k + 1))
+        by_score, by_cut = ordinal.slopes(score, cut, grade)
+        assert abs(by_score - (loss(score + e, cut, grade) - loss(score - e, cut, grade)) / (2 * e)) < 1e-4
+        for j in range(k):
+            up, down = cut.copy(), cut.copy()
+            up[j] += e
+            down[j] -= e
+            assert abs(by_cut[j] - (loss(score, up, grade) - loss(score, down, grade)) / (2 * e)) < 1e-4
+
+
+def test_fit_raises_the_likelihood_and_keeps_thresholds_apart():
+    rng = np.random.default_rng(2)
+    truth = rng.normal(size=40) * 1.5
+    rows = [np.unique(rng.integers(0, 40, 6)) for _ in range(3000)]
+    score = np.array([truth[r].sum() for r in rows])
+    noisy = score + rng.logistic(size=len(rows))
+    grades = (noisy > -1.5).astype(int) + (noisy > 0.5) + (noisy > 3)
+    flat, bounds = np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
+    model = ordinal.fit(flat, bounds, grades, 3, l1=0.0)
+    assert (np.diff(model.thresholds) > 0).all()
+    fitted = np.add.reduceat(model.weights[flat], bounds[:-1])
+    assert np.corrcoef(fitted, score)[0, 1] > 0.97
+
+    def mean_loss(cut, s):
+        below = np.c_[np.zeros(len(s)), 1 / (1 + np.exp(-(cut[None, :] - s[:, None]))), np.ones(len(s))]
+        return -np.log(below[np.arange(len(s)), grades + 1] - below[np.arange(len(s)), grades]).mean()
+
+    share = np.cumsum(np.bincount(grades) / len(grades))[:-1]
+    assert mean_loss(model.thresholds, fitted) < 0.75 * mean_loss(np.log(share / (1 - share)), np.zeros(len(rows)))
+    assert mean_loss(model.thresholds, fitted) < mean_loss(np.array([-1.5, 0.5, 3.0]), score) + 0.05
+
+
+def test_training_text_is_bounded(spark):
+    rows = [(i, f"word{i % 3} " * 200) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    for most in (1, 3000, 10**9):
+        assert ordinal.classify(docs, ordinal.train(docs, ordinal.graded(labels), max_bytes=most)).count() == 40
+    clash = docs.selectExpr("*", "1 AS p_tail", "2 AS p", "3 AS grade")
+    assert ordinal.keep_good(clash, ordinal.train(clash, ordinal.graded(labels)), least=0.0).columns == clash.columns
