@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that `df` doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of `df` that a hash can read (maps and variants can't be hashed)."""
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the session; a folder of our own only where none is set."""
+    """Use the shared folder of the session. Only a local master, where all tasks share this machine's disk, may do without one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
+            logging.getLogger(__name__).info("spark.checkpoint.dir is unset: checkpoints go to %s", folder)
+        context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACE, cut
+from sparkloom.llm.common import SPACE, cut, fresh, hashable
 
 SALTS = 64
 
@@ -65,10 +65,19 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their columns: one row of each group of equal contents."""
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__keep"))
-    found = docs.join(kept, same & (F.sha2(normalised(docs[text_col]), 256) == F.col("__sha")), "left_semi")
-    # rows that repeat an id with equal content are one document: the one with the longest original stays
-    w = Window.partitionBy(id_col, F.xxhash64(normalised(F.col(text_col)))).orderBy(F.desc(F.char_length(F.coalesce(F.col(text_col), F.lit("")))), *[F.col(c) for c in docs.columns if docs.schema[c].dataType.simpleString() in ("string", "bigint", "int")])
-    return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The rows of `docs` that stay, with their columns: one row of each group of equal contents.
+
+    It is the row that `exact_groups` keeps: most code points, then the smallest id, a null id last. Of rows that
+    repeat that id with equal content the one with the longest original stays, further ties fall to the least
+    hash of the row; which of wholly equal rows stays can't be told. Contents are compared in full here too. Null
+    text is empty; an empty table gives no rows; columns may have any name.
+    """
+    keep, sha, nth = fresh(docs, "keep", "sha", "nth")
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(sha))
+    content = normalised(F.col(text_col))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(keep)) & (F.sha2(content, 256) == F.col(sha))
+    found = docs.join(kept, same, "left_semi")
+    # a limit of one row per window is applied before the shuffle as well, so rows that repeat an id stay apart
+    w = Window.partitionBy(F.col(id_col).cast("long"), F.sha2(content, 256), content)
+    w = w.orderBy(F.desc(F.char_length(F.coalesce(F.col(text_col), F.lit("")))), F.xxhash64(*hashable(docs)))
+    return found.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, cut
+from sparkloom.llm.common import connected_components, cut, fresh, hashable
 
 BITS, SEGMENTS, DISTANCE, SEED, SHINGLE = 64, 3, 2, 42, 3
 #: Runs of equal first segments up to this long are compared by offsets, longer ones by probing variants.
@@ -172,16 +172,17 @@ def components_of_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def one_of_each(docs: DataFrame, comps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of `docs` without those that `comps` (node, component; nodes are text keys) makes copies of others.
 
-    The row with the least id stays, a null id last; of rows with equal text likewise one.
+    The row with the least id stays, a null id last; of rows with equal text likewise one. Columns may have any name.
     """
     rows = docs.select(text_key(F.col(text_col)).alias("node"), F.col(id_col).alias("id"))
     best = rows.join(comps, "node").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best")).select(F.col("best.node").alias("node"))
-    gone = comps.join(best, "node", "left_anti").select(F.col("node").alias("__gone"))
-    out = docs.join(gone, text_key(docs[text_col]) == F.col("__gone"), "left_anti")
+    gone, nth = fresh(docs, "gone", "nth")
+    lost = comps.join(best, "node", "left_anti").select(F.col("node").alias(gone))
+    out = docs.join(lost, text_key(F.col(text_col)) == F.col(gone), "left_anti")
     if not rows.groupBy("node").count().where("count > 1").take(1):
         return out
-    w = Window.partitionBy(text_key(F.col(text_col))).orderBy(F.asc_nulls_last(id_col), F.xxhash64(*[F.col(c) for c in docs.columns]))
-    return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    w = Window.partitionBy(text_key(F.col(text_col))).orderBy(F.asc_nulls_last(id_col), F.xxhash64(*hashable(docs)))
+    return out.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,6 +66,22 @@ def test_exact(spark, digest):
     assert stay.count() == len({norm(t) for i, t in rows if i is not None}) and stay.columns[0] == "doc_id" and len(stay.columns) == 8
 
 
+def test_stages_take_any_column_names(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a  b c d e f "), (3, None), (4, ""), (None, "x y z"), (None, "x y  z"), (5, "p q r"), (5, "unrelated words here")]
+    names = ["keep", "sha", "nth", "gone", "__keep", "__n", "__sha", "__gone", "node", "component", "best", "doc_id_2", "n", "chars"]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for dedup, want in ((exact_dedup.exact_dedup, 5), (simhash.simhash_dedup, 5)):
+        got = dedup(docs)
+        assert got.columns == docs.columns
+        assert got.count() == want
+
+
+def test_exact_dedup_of_a_hot_null_id(spark):
+    rows = [(None, "same text" + " " * (k % 3)) for k in range(90)] + [(None, f"t{k}") for k in range(5)]
+    got = [r.text for r in exact_dedup.exact_dedup(docs_of(spark, rows)).collect()]
+    assert sorted(got) == sorted(["same text  "] + [f"t{k}" for k in range(5)])
+
+
 def brute_fingerprint(text):
     w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
