@@ -181,6 +181,7 @@ class _Links:
 
 def _unit(embedding) -> np.ndarray:
     x = np.array([np.asarray(e, dtype=np.float64) for e in embedding])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])  # by a power of two, so squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -194,35 +195,44 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     Null, empty, zero vectors and vectors with null or non-finite components link with nothing (component_id
     is their own id), as do vectors of different lengths. Rows with a null id take no part: n_links 0,
-    component_id null, kept false. Rows that repeat an id are vectors of their own. Other columns are ignored;
-    an empty table gives no rows.
+    component_id null, kept false. Rows that repeat an id are vectors of their own, each with its own links;
+    as components are named by ids, each of them is `kept` whose component has that name. Other columns are
+    ignored; an empty table gives no rows.
     """
     v = F.col("e")
     good = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists(v, lambda c: c != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
     rows = rows.withColumn("e", F.when(good, v)).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-    points = rows.where("e IS NOT NULL").groupBy("e").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("salts"))
-    points = cut(points)
+    points = rows.where("e IS NOT NULL").groupBy("e").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("salts"))
+    points = cut(points.withColumn("id", F.monotonically_increasing_id()))  # a point's number, whatever ids its vectors have
     placed, pairs = _blocks(points, block_rows, float(np.sqrt(2 - 2 * least)))
-    result = cut(_pair_tasks(placed, pairs, least)) if pairs else None
-    if result is None:
+    if pairs is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    result = cut(_pair_tasks(placed, pairs, least))
     links = result.groupBy("id").agg(F.sum("links").alias("links"))
-    comps = connected_components(result.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v")))
-    known = points.join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    comps = connected_components(result.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id")
+    lows = comps.join(points.select("id", "low"), "id").groupBy("component").agg(F.min("low").alias("least"))
+    known = points.join(links, "id", "left").join(comps.join(lows, "component").select("id", "least"), "id", "left")
     salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit(F.col("salts"), s) == 1)
-    known = known.select("e", F.explode(salts).alias("salt"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = known.select("e", F.explode(salts).alias("salt"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "low").alias("component_id"))
     out = rows.join(known, ["e", "salt"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _blocks(points: DataFrame, block_rows: int, limit: float) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Points with their block, and the pairs of blocks that the top level of the tree leaves."""
+def _blocks(points: DataFrame, block_rows: int, limit: float) -> tuple[DataFrame, DataFrame | None]:
+    """Points with their block, and the pairs (a, b) of blocks that the top level of the tree leaves.
+
+    The driver sees the bounded top level alone: at most MAX_CELLS cells a length and their pairs. Blocks and
+    their pairs are made by the executors.
+    """
+    spark = points.sparkSession
     sizes = {r["dim"]: r["n"] for r in points.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return points, None
     centres: dict[int, np.ndarray] = {}
     for dim, n in sizes.items():
-        sample = [r["e"] for r in points.where(F.size("e") == dim).orderBy(F.xxhash64("id")).limit(SAMPLE).select("e").collect()] if n > block_rows else [points.where(F.size("e") == dim).first()["e"]]
+        sample = [r["e"] for r in points.where(F.size("e") == dim).orderBy(F.xxhash64("e")).limit(SAMPLE).select("e").collect()] if n > block_rows else [points.where(F.size("e") == dim).first()["e"]]
         x, picked = _unit(sample), [0]
         near = x @ x[0]
         while len(picked) < min(MAX_CELLS, n // block_rows + 1, len(x)):
@@ -242,28 +252,27 @@ def _blocks(points: DataFrame, block_rows: int, limit: float) -> tuple[DataFrame
                 dist[at] = np.sqrt(np.maximum(0.0, 2 - 2 * dots[np.arange(len(at)), best])) + SAFE
             yield pdf[["id", "mult", "e"]].assign(cell=cell, dist=dist)
 
-    celled = cut(points.mapInPandas(place, "id long, mult long, e array<double>, cell string, dist double")) if sizes else points
-    cells = {r["cell"]: (r["n"], r["far"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect()} if sizes else {}
-    parts = {c: n // block_rows + 1 for c, (n, _) in cells.items()}
-    names, pairs = sorted(cells), []
-    for k, c in enumerate(names):
-        for d in names[k:]:
-            (dim, i), (dim2, j) = (map(int, y.split("/")) for y in (c, d))
-            if dim != dim2:
-                continue
-            apart = np.sqrt(max(0.0, 2 - 2 * float(centres[dim][i] @ centres[dim][j])))
-            if apart <= cells[c][1] + cells[d][1] + limit + SAFE:
-                pairs.append((c, d))
-    blocks = [(f"{c}/{p}", f"{d}/{q}") for c, d in pairs for p in range(parts[c]) for q in range(parts[d]) if c != d or p <= q]
-    if not sizes:
-        return points, []
-    n_parts = F.create_map(*[F.lit(y) for c in names for y in (c, parts[c])])
-    return celled.withColumn("block", F.concat_ws("/", "cell", F.pmod(F.xxhash64("id"), n_parts[F.col("cell")]).cast("string"))), blocks
-
-
-def _pair_tasks(placed: DataFrame, pairs: list[tuple[str, str]], least: float) -> DataFrame:
-    spark = placed.sparkSession
-
+    celled = cut(points.mapInPandas(place, "id long, mult long, e array<double>, cell string, dist double"))
+    cells = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
+    cells = cut(cells.withColumn("parts", F.floor(F.col("n") / block_rows).cast("int") + 1))
+    top = {(int(r["cell"].split("/")[0]), int(r["cell"].split("/")[1])): r["far"] for r in cells.collect()}
+    near = []
+    for dim, c in centres.items():
+        mine = sorted(k for d, k in top if d == dim)
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c[mine] @ c[mine].T)))
+        far = np.array([top[dim, k] for k in mine])
+        p, q = np.nonzero(np.triu(apart <= far[:, None] + far[None, :] + limit + SAFE))
+        near += [(f"{dim}/{mine[i]}", f"{dim}/{mine[j]}") for i, j in zip(p.tolist(), q.tolist(), strict=True)]
+    pairs = spark.createDataFrame(near, "c string, d string")
+    for side, part in (("c", "p"), ("d", "q")):
+        pairs = pairs.join(cells.select(F.col("cell").alias(side), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(part)), side)
+    name = lambda cell, part: F.concat_ws("/", cell, F.col(part).cast("string"))
+    pairs = pairs.where((F.col("c") != F.col("d")) | (F.col("p") <= F.col("q"))).select(name("c", "p").alias("a"), name("d", "q").alias("b"))
+    placed = celled.join(cells.select("cell", "parts"), "cell")
+    return placed.withColumn("block", F.concat_ws("/", "cell", F.pmod(F.xxhash64("e"), F.col("parts")).cast("string"))), pairs
+
+
+def _pair_tasks(placed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     def pack(pdf):
         x = _unit(pdf["e"])
         tree = CoverTree(x)  # once per block, not per pair
@@ -279,5 +288,5 @@ def _pair_tasks(placed: DataFrame, pairs: list[tuple[str, str]], least: float) -
         return links.rows(a[0], b[0])
 
     packed = placed.groupBy("block").applyInPandas(pack, "block string, tree binary")
-    wanted = spark.createDataFrame([(p, q, end) for p, q in pairs for end in dict.fromkeys((p, q))], "a string, b string, block string")
+    wanted = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
     return packed.join(wanted, "block").groupBy("a", "b").applyInPandas(match, "id long, links long, root long")

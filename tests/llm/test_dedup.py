@@ -191,3 +191,12 @@ def test_cover_tree(spark, block_rows):
     want = sorted((str(i), len(link[a]), str(low[a]), i is not None and i == low[a]) for a, (i, _) in enumerate(rows))
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == want
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_cover_tree_of_repeated_ids_and_huge_values(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, -1.0])]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+    rows = [(1, [1e200, 1e199]), (2, [9e199, 1.5e199]), (3, [1e-200, 1e-201]), (4, [-1e200, 0.0]), (5, [5e-324, 0.0])]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 3, 1)]
