@@ -1,6 +1,7 @@
 """BPE against the whole-text library, Katz scores against dictionaries."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -8,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -56,52 +58,105 @@ def tokens(text):
     return re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or "")) + [None]
 
 
-def brute(rows):
+def good_turing(counts):
+    """Discounts by count up to 5, written down anew: Katz's formula, on a line through log n_r where it fails."""
+    n = [sum(c == r for c in counts.values()) for r in range(1, 7)]
+
+    def formula(n):
+        most = 6 * n[5] / n[0]
+        return [((r + 1) * n[r] / n[r - 1] / r - most) / (1 - most) for r in range(1, 6)] if most != 1 else [0]
+
+    tried = [formula(n)] if all(n) else []
+    seen = [(r, x) for r, x in enumerate(n, 1) if x]
+    if len(seen) > 1:
+        width = lambda k: ((seen[k + 1][0] if k + 1 < len(seen) else 2 * seen[k][0] - (seen[k - 1][0] if k else 0)) - (seen[k - 1][0] if k else 0)) / 2
+        x, y = [math.log(r) for r, _ in seen], [math.log(m / width(k)) for k, (_, m) in enumerate(seen)]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+        if slope < -1:
+            tried.append(formula([math.exp(my + slope * (math.log(r) - mx)) for r in range(1, 7)]))
+    for d in tried:
+        if all(0 < v <= 1 for v in d):
+            return [1.0, *d]
+    cut = min(n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5, 0.99)
+    return [1.0] + [1 - cut / r for r in range(1, 6)]
+
+
+def brute(rows, order=2):
+    """The model by dictionaries, without any of the operator's code."""
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
     docs = [tokens(t) for _, t in rows]
-    uni, pair = collections.Counter(), collections.Counter()
+    grams = [collections.Counter() for _ in range(order)]
+    padded = lambda d: ["^"] * (order - 1) + d
     for d, h in zip(docs, held):
         if not h:
-            uni.update(d)
-            pair.update(zip(["^", *d], d))
-    n = sum(uni.values())
-    of = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, katz.K + 2)])
-    model, d2 = katz.Unigrams(n, of(uni)), katz.discounts(of(pair))
-    after = collections.defaultdict(dict)
-    for (a, b), c in pair.items():
-        after[a][b] = c
-    p1 = lambda w: float(model.p(np.array([uni[w]]))[0])
-
-    def p(w, a):
-        if a not in after:
-            return p1(w)
-        seen = after[a]
+            for k in range(order):
+                grams[k].update(tuple(padded(d)[i + order - 1 - k : i + order]) for i in range(len(d)))
+    uni = grams[0]
+    n, d = sum(uni.values()), [good_turing(g) for g in grams]
+    cut = lambda level, c: d[level][c] * c if c <= 5 else c
+    rest = sum(c - cut(0, c) for c in uni.values())
+    unknown, weight = (max(rest / n, 1 / (n + 1)), n - rest) if n else (1.0, 1.0)
+    after = [collections.defaultdict(dict) for _ in range(order)]
+    for k in range(1, order):
+        for g, c in grams[k].items():
+            after[k][g[:-1]][g[-1]] = c
+
+    @functools.cache
+    def weights(context):
+        """Denominator, and backoff weight."""
+        level = len(context)
+        seen = after[level][context]
         total = sum(seen.values())
-        disc = lambda c: d2[c] * c if c <= katz.K else c
-        left = total - sum(disc(c) for c in seen.values())
-        if not any(c <= katz.K for c in seen.values()):
+        left = total - sum(cut(level, c) for c in seen.values())
+        if all(c > 5 or d[level][c] == 1 for c in seen.values()):
             total, left = total + 1, 1.0
-        if w in seen:
-            return disc(seen[w]) / total
-        return left / total / (1 - sum(p1(x) for x in seen)) * p1(w)
-
-    for a in list(after)[:30] + ["never"]:  # known words and one unknown word: exactly normalised
-        assert abs(sum(p(w, a) for w in uni) + p("unknown word", a) - 1) < 1e-9
+        return total, left / total / (1 - sum(p(w, context[1:]) for w in seen))
+
+    @functools.cache
+    def p(w, context):
+        if not context:
+            return (1 - unknown) * cut(0, uni[w,]) / weight if uni[w,] else unknown
+        seen = after[len(context)].get(context)
+        if seen is None:
+            return p(w, context[1:])
+        total, alpha = weights(context)
+        return cut(len(context), seen[w]) / total if w in seen else alpha * p(w, context[1:])
+
+    for level in range(1, order):
+        for a in list(after[level])[:30] + [("never",) * level]:  # known words and one unknown word: exactly normalised
+            assert abs(sum(p(w, a) for (w,) in uni) + p("unknown word", a) - 1) < 1e-9
     out = []
-    for (i, _), h, d in zip(rows, held, docs):
-        base = sum(math.log10((uni[w] + 1) / (n + len(uni) + 1)) for w in d)
-        out.append((str(i), h, len(d), sum(uni[w] > 0 for w in d), n, round(base, 6), round(sum(math.log10(p(w, a)) for a, w in zip(["^", *d], d)), 6)))
+    for (i, _), h, t in zip(rows, held, docs):
+        base = sum(math.log10((uni[w,] + 1) / (n + len(uni) + 1)) for w in t)
+        score = sum(math.log10(p(w, tuple(padded(t)[k : k + order - 1]))) for k, w in enumerate(t))
+        out.append((str(i), h, len(t), sum(uni[w,] > 0 for w in t), n, round(base, 6), round(score, 6)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_katz(spark, seed):
+@pytest.mark.parametrize(("seed", "order"), [(1, 2), (2, 2), (1, 3), (2, 4), (3, 1)])
+def test_katz(spark, seed, order):
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(300)]
     rows = corpus(seed) + [(1000 + k, " ".join(vocabulary[min(299, int(rng.expovariate(0.03)))] for _ in range(120))) for k in range(60)]
-    got = katz.katz_scores(docs_of(spark, rows), block_mb=0.01).collect()
+    got = katz.katz_scores(docs_of(spark, rows), block_mb=0.01, order=order).collect()
+    assert sorted((str(r[0]), *r[1:5], round(r[5], 6), round(r[6], 6)) for r in got) == brute(rows, order)
+    assert katz.katz_scores(docs_of(spark, []), order=order).count() == 0
+
+
+def test_katz_of_one_common_context(spark):
+    """A third of all pairs begin with one word: its pairs lie in several buckets."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(x for _ in range(40) for x in ("the", f"n{rng.randrange(400)}", f"v{rng.randrange(40)}"))) for k in range(80)]
+    got = katz.katz_scores(docs_of(spark, rows), block_mb=0.004).collect()
     assert sorted((str(r[0]), *r[1:5], round(r[5], 6), round(r[6], 6)) for r in got) == brute(rows)
-    assert katz.katz_scores(docs_of(spark, [])).count() == 0
+    pdf = pd.DataFrame({"doc_id": [k for k, _ in rows], "text": [t.encode() for _, t in rows]})
+    block = katz.Block(pdf, 8)
+    told = {b: (lambda r: katz.unpack(r["blob"].iloc[0]))(katz._merge_words(pd.DataFrame({"bucket": [b], "block": [0], "blob": [katz.pack(*a)]}))) for b, a in block.ask()}
+    block.climb({1: told}, 1)
+    level = block.descend()
+    runs = sorted((sum(len(level.asked(b)[2]) for b in range(8)), max(len(level.asked(b)[2]) for b in range(8))))
+    assert runs[1] == len(level.context) and runs[0] < 0.3 * runs[1]
 
 
 def test_katz_without_training_text(spark):
