@@ -62,6 +62,13 @@ def blocks_for(df: DataFrame, text_col: str = "text", block_mb: float = 16.0) ->
     return max(4, int(chars / (block_mb * 1e6)) + 1)
 
 
+def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join on `key`, which is unique in `small` and may be that of a third of `rows`: these are dealt to `salts` tasks by `spread`."""
+    salt = fresh(rows, "salt")[0]
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [key, salt], how).drop(salt)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node reachable.
 

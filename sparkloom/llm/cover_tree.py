@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, cut
+from sparkloom.llm.common import connected_components, cut, salted_join
 
 SALTS, LEAF = 64, 24
 #: The top level is a net of at most so many centres, chosen from a bounded sample of the vectors.
@@ -212,7 +212,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     links = result.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(result.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id")
     lows = comps.join(points.select("id", "low"), "id").groupBy("component").agg(F.min("low").alias("least"))
-    known = points.join(links, "id", "left").join(comps.join(lows, "component").select("id", "least"), "id", "left")
+    known = points.join(links, "id", "left").join(salted_join(comps, lows, "component", "id").select("id", "least"), "id", "left")
     salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit(F.col("salts"), s) == 1)
     known = known.select("e", F.explode(salts).alias("salt"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "low").alias("component_id"))
     out = rows.join(known, ["e", "salt"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import simhash
 from sparkloom.llm.blocks import chunks, mix
-from sparkloom.llm.common import connected_components, cut
+from sparkloom.llm.common import connected_components, cut, salted_join
 from sparkloom.llm.katz import words_of
 
 SHINGLE, LEAST = 5, 0.8
@@ -18,6 +18,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Bytes of text at a time: the arrays of a chunk take some hundred times its size.
 CHUNK = 250_000
+#: Texts and bytes of candidates that one task compares.
+TASK_ROWS, TASK_BYTES = 1000, 8_000_000
 
 
 def shingled(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +96,13 @@ def similar_groups(texts: list[bytes], shingle: int = SHINGLE, least: float = LE
     return group
 
 
-def near_copies(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def near_copies(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, task_rows: int = TASK_ROWS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(node, component): text keys of texts in a group of two or more, and the least key of the group.
 
     Texts that share a band meet in its least key, those of a component of SimHash in that one's; what is joined so
-    is a cluster of candidates, whose whole shingle sets (as 64-bit hashes) one task compares: it links those with
-    a similarity of `least` or more, and those that SimHash links.
+    is a cluster of candidates. The whole shingle sets (as 64-bit hashes) decide: texts with a similarity of `least`
+    or more are linked, and so are those that SimHash links. A cluster of at most `task_rows` texts and
+    `task_bytes` bytes is compared by one task, a larger one by `_pivoted`.
     """
     keyed = docs.select(simhash.text_key(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
@@ -110,18 +113,76 @@ def near_copies(docs: DataFrame, *, text_col: str = "text", shingle: int = SHING
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["node", "bands"])
 
     def decide(pdf):
-        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
+        pdf = pdf.sort_values("node", ignore_index=True)
         node = pdf["node"].to_numpy()
         to = similar_groups(pdf["text"].tolist(), shingle, least, pdf["known"].to_numpy())
         many = np.bincount(to, minlength=len(to))[to] > 1
         return pd.DataFrame({"node": node[many], "component": node[to[many]]})
 
+    def shingle_sets(batches):
+        for b in batches:
+            sets = []
+            texts = b.column(3).to_pylist()
+            for x, y in chunks(texts, CHUNK):
+                h, bounds = shingled(texts[x:y], shingle)
+                sets += [np.unique(h[p:q]).view(np.int64) for p, q in zip(bounds, bounds[1:], strict=False)]
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["cluster", "node", "known", "shingles"])
+
     known = cut(simhash.components_of_texts(docs, text_col).where("node != component").select("node", F.col("component").alias("known")))
     flat = cut(keyed.mapInArrow(sign, "node long, bands array<long>")).select("node", F.explode("bands").alias("band"))
     shared = flat.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "low")
     stars = flat.join(shared, "band").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     clusters = connected_components(stars.union(known)).join(known, "node", "left").withColumn("known", F.coalesce("known", "node"))
-    return cut(keyed.join(clusters, "node").groupBy("component").applyInPandas(decide, "node long, component long"))
+    texts = keyed.join(clusters, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("component", "known", "text")])
+    texts = cut(texts.select(F.col("component").alias("cluster"), "node", "known", "text"))
+    sizes = texts.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = cut(sizes.withColumn("large", (F.col("n") > task_rows) | (F.col("bytes") > task_bytes)).withColumn("salts", F.greatest(F.ceil(F.col("n") / task_rows), F.ceil(F.col("bytes") / task_bytes)).cast("int")))
+    out = texts.join(sizes.where("NOT large").select("cluster"), "cluster", "left_semi").groupBy("cluster").applyInPandas(decide, "node long, component long")
+    large = sizes.where("large").select("cluster", "n", "salts")
+    if large.take(1):
+        rows = texts.join(large.select("cluster"), "cluster", "left_semi")
+        out = out.unionByName(_pivoted(cut(rows.mapInArrow(shingle_sets, "cluster long, node long, known long, shingles array<long>")), large, least))
+    return cut(out)
+
+
+def _pivoted(sets: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
+    """(node, component) of the texts in large clusters, by rounds of pivots; exact, and no task holds a cluster.
+
+    `sets`: cluster, node, known, shingles (distinct); `clusters`: cluster, n, salts. A round takes the next part of
+    a cluster's texts, in the order of a hash, as pivots, first 64, then 8 times more each round, and compares each
+    with every text of the cluster that isn't yet in its component. After the first round a cluster's largest
+    component is its giant, and texts that lie in the giant are no pivots any more: of two texts that end in
+    different components, one was never in the giant, so it has been a pivot and both were compared. A group of
+    near copies joins its giant early; what is left to compare grows with the texts outside of it.
+    """
+    labels = cut(sets.select("cluster", "node", F.col("known").alias("label")))
+    spot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))  # in [0, 1): a text's place in the order
+    most = clusters.agg(F.max("n").alias("n")).first()["n"]
+    done, width, giants = 0.0, 64.0, None
+    while done < most:
+        now = sets.drop("known").join(labels, ["cluster", "node"]).join(clusters, "cluster").withColumn("spot", spot * F.col("n"))
+        pivots = now.where((F.col("spot") >= done) & (F.col("spot") < done + width))
+        if giants is not None:
+            pivots = pivots.join(labels.join(giants, ["cluster", "node"]).select("cluster", F.col("label").alias("giant")), "cluster").where("label != giant")
+        # a cluster's texts are dealt to parts of bounded size; every part gets the pivots
+        pivots = pivots.select("cluster", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("label").alias("of"), F.col("shingles").alias("mine"))
+        others = now.select("cluster", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "label", "shingles")
+        both = F.size(F.array_intersect("shingles", "mine"))
+        a, b = F.size("shingles"), F.size("mine")
+        alike = (F.least(a, b) >= F.greatest(a, b) * least) & (both >= (a + b - both) * least - 1e-9)
+        found = others.join(pivots, ["cluster", "salt"]).where(F.col("label") != F.col("of")).where(alike)
+        edges = cut(found.select(F.col("label").alias("u"), F.col("of").alias("v")).distinct())
+        if edges.take(1):
+            joined = connected_components(edges).select(F.col("node").alias("label"), F.col("component").alias("to"))
+            labels = cut(salted_join(labels, joined, "label", "node", "left").select("cluster", "node", F.coalesce("to", "label").alias("label")))
+        done, width = done + width, width * 8
+        if giants is None:
+            counts = labels.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+            giants = cut(counts.groupBy("cluster").agg(F.max_by("node", F.struct("n", "node")).alias("node")))
+    lows = labels.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return salted_join(labels, lows.select("label", "component"), "label", "node").select("node", "component")
 
 
 def near_copy_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:

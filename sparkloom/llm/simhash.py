@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, cut, fresh, hashable
+from sparkloom.llm.common import connected_components, cut, fresh, hashable, salted_join
 
 BITS, SEGMENTS, DISTANCE, SEED, SHINGLE = 64, 3, 2, 42, 3
 #: Runs of equal first segments up to this long are compared by offsets, longer ones by probing variants.
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comps = connected_components(edges)
     named = comps.join(fps.select(F.col("fp").alias("node"), "least"), "node")
     lows = named.groupBy("component").agg(F.min("least").alias("low"))
-    of_fp = named.join(lows, "component").select(F.col("node").alias("fp"), "low")
+    of_fp = salted_join(named, lows, "component", "node").select(F.col("node").alias("fp"), "low")
     salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit(F.col("salts"), s) == 1)
     spread = fps.join(of_fp, "fp", "left").select("fp", F.explode(salts).alias("salt"), F.coalesce("low", "least").alias("component_id"))
     out = docs_fp.withColumn("salt", salt).join(spread, ["fp", "salt"])

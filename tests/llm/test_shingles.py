@@ -78,3 +78,31 @@ def test_simhash_dedup_with_repeated_and_null_ids(spark):
     rows = [(5, a), (5, b), (3, upper(a)), (None, c), (None, upper(c))]
     left = [(r.doc_id, r.text) for r in simhash.simhash_dedup(docs_of(spark, rows)).collect()]
     assert sorted(left, key=str)[:2] == [(3, upper(a)), (5, b)] and len(left) == 3 and left.count((None, c)) + left.count((None, upper(c))) == 1
+
+
+def test_large_clusters_are_exact(spark):
+    """Groups around two texts, chains, and texts that share bands without being similar, in parts of a few rows."""
+    rng = random.Random(11)
+    rows = []
+    for base in range(2):
+        w = [f"b{base}_{rng.randrange(900)}" for _ in range(120)]
+        for k in range(70):
+            v = list(w)
+            for _ in range(rng.choice([1, 2, 2, 5, 9])):
+                v[rng.randrange(len(v))] = f"e{base}_{k}"
+            rows.append(" ".join(v))
+    w = [f"c{k}" for k in range(100)]
+    for k in range(40):  # a chain: each text is similar to the next ones only
+        rows.append(" ".join(w[k:] + [f"d{j}" for j in range(k)]))
+    rows = list(enumerate(rows))
+    texts = [t for _, t in rows]
+    fps = [brute_fingerprint(t) for t in texts]
+    low = brute(rows, [[similarity(a, b) >= 0.8 or (fps[i] ^ fps[j]).bit_count() <= 2 for j, b in enumerate(texts)] for i, a in enumerate(texts)])
+    docs = docs_of(spark, rows)
+    nodes = {r.node: r.doc_id for r in docs.select("doc_id", simhash.text_key(docs.text).alias("node")).collect()}
+    want = sorted(sorted(i for i, x in enumerate(low) if x == c) for c in set(low) if low.count(c) > 1)
+    for options in ({"task_rows": 10}, {"task_bytes": 5000}, {}):
+        groups = {}
+        for r in shingle_dedup.near_copies(docs, **options).collect():
+            groups.setdefault(r.component, []).append(nodes[r.node])
+        assert sorted(map(sorted, groups.values())) == want
