@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from functools import lru_cache
 
@@ -31,10 +32,9 @@ def tokenizer(path: str):
 def pieces(texts: list[bytes]):
     """Per text: pieces (bytes, is a chunk's core) that together are the text.
 
-    Cuts follow the content alone, so a passage gets the same chunks wherever it stands. The encoder sees
-    nothing across ASCII white space: a chunk's core, from its first to its last white space, always has the
-    same ids. What lies between two cores is the join; it grows over chunks without white space until both of
-    its ends agree with the cores beside it, and is encoded anew.
+    Cuts follow the content alone, so a passage gets the same chunks wherever it stands. A chunk's core, from its
+    first to its last white space, is what is encoded once; what lies between two cores is the join, which is
+    encoded anew together with the words beside it (`Encoder.repair`).
     """
     for a, b in chunks(texts):
         whole = b"".join(texts[a:b])
@@ -68,9 +68,38 @@ def pieces(texts: list[bytes]):
             yield out
 
 
+def parts_at_space(t) -> bool:
+    """Whether no id of the tokenizer spans white space and ids decode to their names with spaces between.
+
+    It holds for a normaliser that changes characters one by one or folds white space, a first pre-tokenizer that
+    drops white space, and neither a post-processor nor a decoder; some words are tried as well.
+    """
+    spec = json.loads(t.to_str())
+    flat = lambda x, key: [y for z in x[key] for y in flat(z, key)] if x and x["type"] == "Sequence" else [x] if x else []
+    normal, parts = flat(spec["normalizer"], "normalizers"), flat(spec["pre_tokenizer"], "pretokenizers")
+    known = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"}) for x in normal)
+    drops = bool(parts) and (parts[0]["type"] == "WhitespaceSplit" or (parts[0]["type"] == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"]))
+    special = any(any(c.isspace() for c in x["content"]) or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
+    if not known or not drops or special or spec["post_processor"] or spec["decoder"]:
+        return False
+    ids = lambda text: t.encode(text, add_special_tokens=False).ids
+    words = ["a", "it's", "Ärger", "1", "x" * 40, "漢字", "--", "…!", "\u0308", "İΣ", "<|", "\a"]
+    for k, w in enumerate(words):
+        other = words[k - 1]
+        if any(ids(other + space + w) != ids(other) + ids(w) for space in " \t\n\r\x0b\x0c"):
+            return False
+        both = ids(f"{other} {w}")
+        if t.decode(both, skip_special_tokens=False) != " ".join(map(t.id_to_token, both)):
+            return False
+    return True
+
+
 class Encoder:
-    """Ids of pieces as (number, decimal text, decoded text). White space parts words exactly, so a piece is put
-    together from its words; words that were met before are not encoded again."""
+    """Ids of pieces as (number, decimal text, decoded text).
+
+    Where white space parts words exactly (`by_words`, checked when the file is read), a piece is put together from
+    its words, and words that were met before are not encoded again.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
@@ -78,39 +107,107 @@ class Encoder:
         self.names = [(t or "").encode() for t in map(self.tokenizer.id_to_token, size)]
         self.decimals = [b"%d" % i for i in size]
         self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.by_words = parts_at_space(self.tokenizer)
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.bell = ids("\a")[0] if ids("a \a b") == ids("a") + ids("\a") + ids("b") and len(ids("\a")) == 1 else None
 
-    def lists(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. A call costs more than a word, so words go in lines, parted by a bell: a word of its
-        own with one id that no other byte makes. Words that hold a bell or may hold a special token go alone."""
+    def entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), b" ".join([self.decimals[i] for i in ids]), b" ".join([self.names[i] for i in ids])
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remembers each word's entry. A call costs more than a word, so words go in lines, parted by a bell: a word of
+        its own with one id that no other byte makes. Words that hold a bell or may hold a special token go alone."""
         alone = [w for w in words if self.bell is None or b"\a" in w or b"<|" in w]
         rest = [w for w in words if not (self.bell is None or b"\a" in w or b"<|" in w)]
-        out = dict(zip(alone, (e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)), strict=True))
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            self.words[w] = self.entry(e.ids)
         lines = [rest[i : i + 64] for i in range(0, len(rest), 64)]
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([b" \a ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
-            ids, at = e.ids, 0
-            for w in line[:-1]:
+            _, own, decoded = self.entry(e.ids)
+            own, decoded = own.split(b" %d " % self.bell), decoded.split(b" " + self.names[self.bell] + b" ")
+            if len(own) == len(decoded) == len(line):
+                self.words.update(zip(line, [(a.count(b" ") + 1, a, b) for a, b in zip(own, decoded, strict=True)], strict=True))
+                continue
+            ids, at = [*e.ids, self.bell], 0  # a word without ids is among them
+            for w in line:
                 end = ids.index(self.bell, at)
-                out[w] = ids[at:end]
+                self.words[w] = self.entry(ids[at:end])
                 at = end + 1
-            out[line[-1]] = ids[at:]
-        return [out[w] for w in words]
-
-    def entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), b" ".join([self.decimals[i] for i in ids]), b" ".join([self.names[i] for i in ids])
 
     def encode(self, wanted: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """Entries of pieces that begin and end at the ends of words."""
         if len(self.words) > REMEMBER:
             self.words.clear()
         known, parts = self.words, [p.split() for p in wanted]
         missing = [w for w in set().union(*parts) if w not in known]
         for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for w, ids in zip(part, self.lists(part), strict=True):
-                known[w] = self.entry(ids)
+            self.learn(missing[i : i + 4096])
         return [joined([known[w] for w in words]) for words in parts]
 
+    def whole(self, text: bytes) -> tuple[int, bytes, bytes]:
+        """Entry of a whole text as the library encodes and decodes it."""
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return len(ids), b" ".join([self.decimals[i] for i in ids]), self.tokenizer.decode(ids, skip_special_tokens=False).encode()
+
+    def repair(self, texts: list[list[tuple[bytes, tuple | None]]]) -> list[tuple[int, bytes, bytes]]:
+        """Entries of whole texts from cores (bytes, entry) and joins (bytes, None).
+
+        A join is encoded anew in a window with the last word of the core before it and the first word of the core
+        after it. It agrees with the cores when the window's ids begin with that word's ids as they end the core's
+        ids, and end with the other's as they begin the next core's; what lies between is the join's. A window that
+        doesn't agree takes twice as many words, up to both cores; if it then still doesn't, the text is encoded whole.
+        """
+        none = (0, b"", b"")
+        at = {}  # join with its neighbours -> entry; False if nothing agrees
+        for doc in texts:
+            for k, (p, e) in enumerate(doc):
+                if e is None:
+                    at[doc[k - 1] if k else (b"", none), p, doc[k + 1] if k + 1 < len(doc) else (b"", none)] = False
+        left, n = list(at), 1
+        while left:
+            tries = [(x, *window_edges(x[0][0], x[2][0], n)) for x in left]
+            edges = list(dict.fromkeys(e for _, a, b, _ in tries for e in (a, b)))
+            entries = dict(zip(edges, self.encode(edges), strict=True))
+            windows = list(dict.fromkeys(a + x[1] + b for x, a, b, _ in tries))
+            ids = {}
+            for i in range(0, len(windows), 4096):
+                part = windows[i : i + 4096]
+                ids |= zip(part, (e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True)
+            again, made = [], {}
+            for x, a, b, last in tries:
+                (before, join, after), key = x, (a, x[1], b)
+                if key not in made:
+                    w, first, end = ids[a + join + b], entries[a], entries[b]
+                    inner = w[first[0] : len(w) - end[0]]
+                    fits = len(w) >= first[0] + end[0] and self.entry(w[: first[0]])[1] == first[1] and self.entry(w[len(w) - end[0] :] if end[0] else [])[1] == end[1]
+                    made[key] = self.entry(inner) if fits else None
+                if made[key] is not None and ends_with(before[1][1], entries[a][1]) and starts_with(after[1][1], entries[b][1]):
+                    at[x] = made[key]
+                elif not last:
+                    again.append(x)
+            left, n = again, n * 2
+        out = []
+        for doc in texts:
+            parts = [e or at[doc[k - 1] if k else (b"", none), p, doc[k + 1] if k + 1 < len(doc) else (b"", none)] for k, (p, e) in enumerate(doc)]
+            out.append(self.whole(b"".join(p for p, _ in doc)) if False in parts else joined(parts))
+        return out
+
+
+def window_edges(left: bytes, right: bytes, n: int) -> tuple[bytes, bytes, bool]:
+    """The end of `left` that holds its last n words, the beginning of `right` that holds its first n, and whether that is all."""
+    a, b = left.rsplit(None, n), right.split(None, n)
+    start, end = (len(a[0]) if len(a) > n else 0), (len(right) - len(b[n]) if len(b) > n else len(right))
+    return left[start:], right[:end], start == 0 and end == len(right)
+
+
+def starts_with(ids: bytes, part: bytes) -> bool:
+    """Whether ids, as decimal text, begin with those of `part`."""
+    return not part or ids == part or ids.startswith(part + b" ")
+
+
+def ends_with(ids: bytes, part: bytes) -> bool:
+    return not part or ids == part or ids.endswith(b" " + part)
+
 
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
@@ -123,6 +220,17 @@ def joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
     return sum([p[0] for p in parts]), b" ".join([p[1] for p in parts]), b" ".join([p[2] for p in parts])
 
 
+def alternating(doc: list[tuple[bytes, bool]]) -> list[tuple[bytes, bool]]:
+    """The pieces of a text with neighbours that are no cores put together: every join has cores or the text's ends beside it."""
+    out: list[tuple[bytes, bool]] = []
+    for p, core in doc:
+        if not core and out and not out[-1][1]:
+            out[-1] = (out[-1][0] + p, False)
+        else:
+            out.append((p, core))
+    return out
+
+
 def ids_of_text(text: bytes) -> np.ndarray:
     return np.array(text.split(), dtype=np.uint32)
 
@@ -136,8 +244,10 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
     Equal to the tokenizers library on the whole text, without special tokens added. Documents lie in blocks.
     Each block tells buckets the digests of its chunks' cores; for a core that several blocks hold, the bucket
-    names one block, which encodes it and sends the ids to the others. A task then encodes what only its block
-    holds, and the joins, and puts the pieces together. Whole texts, nothing is cut off.
+    names one block, which encodes it and sends the ids to the others. A task then encodes the cores that only its
+    block holds, once each, and repairs the joins between cores by encoding them anew until they agree with the
+    cores' ids on both sides. Whole texts, nothing is cut off. Cores begin and end at white space, which is right for
+    tokenizers that part words there (see `parts_at_space`); with any other one every text is encoded whole.
 
     `path` names the vocabulary file on every machine. Null text is empty: no ids, and the digests of nothing.
     Rows with a null or repeated id are documents of their own; an empty table gives no rows; other columns
@@ -146,6 +256,8 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     base, n = in_blocks(docs, id_col, text_col, block_mb)
 
     def cores(pdf):
+        if not encoder_of(path).by_words:
+            return {}
         return dict.fromkeys(p for doc in pieces(pdf["text"].tolist()) for p, core in doc if core)
 
     def ask(pdf):
@@ -202,17 +314,24 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
         rows, texts = [], pdf["text"].tolist()
         size, group = 0, []
 
+        def add(n, own, decoded):
+            row = [n, hashlib.sha256(own).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+            rows.append(row + ([ids_of_text(own).tolist()] if ids else []))
+
         def flush():
-            fresh = list(dict.fromkeys(p for doc in group for p, got in doc if got is None))
-            local = dict(zip(fresh, encoder.encode(fresh), strict=True))
-            for doc in group:
-                n, own, decoded = joined([got or local[p] for p, got in doc])
-                row = [n, hashlib.sha256(own).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                rows.append(row + ([ids_of_text(own).tolist()] if ids else []))
+            fresh = [p for p in dict.fromkeys(p for doc in group for p, core in doc if core) if not given or _key(p) not in given]
+            known = dict(zip(fresh, encoder.encode(fresh), strict=True))
+            entry = lambda p: known[p] if p in known else given[_key(p)]
+            for done in encoder.repair([[(p, entry(p) if core else None) for p, core in doc] for doc in group]):
+                add(*done)
             group.clear()
 
+        if not encoder.by_words:
+            for text in texts:
+                add(*encoder.whole(text))
+            texts = []
         for doc in pieces(texts):
-            group.append([(p, given.get(_key(p)) if core and given else None) for p, core in doc])
+            group.append(alternating(doc))
             size += sum(len(p) for p, _ in doc)
             if size > 1_000_000:
                 flush()

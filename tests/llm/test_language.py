@@ -35,6 +35,63 @@ def test_pieces_encode_like_the_whole():
         assert b" ".join(g[2] for g in got if g[0]).decode() == t.decode(want.ids, skip_special_tokens=False)
 
 
+def odd_texts():
+    rng = random.Random(18)
+    alphabet = ["a", "Z", "é", "̈", " ", " ", "\n", "\t", "\x85", "1", "'s", "!", "漢字", "İ", "Σ", "😀", "<|endoftext|>", "the ", "word ", "\a", "\x00"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 900))) for _ in range(80)]
+    return texts + ["x" * 5000, "漢" * 3000, "a b " * 900, "", " ", " " * 3000 + "a" + " " * 3000, "\x85 " * 900]
+
+
+def test_joins_are_repaired():
+    """Cores are encoded once, joins with the words beside them; wrong ids of a core are noticed."""
+    texts = odd_texts()
+    encoder = bpe.Encoder(PATH)
+    assert encoder.by_words
+    docs = [bpe.alternating(d) for d in bpe.pieces([t.encode() for t in texts])]
+    assert all(a[1] != b[1] for d in docs for a, b in zip(d, d[1:])) and sum(c for d in docs for _, c in d) > 100
+    entries = [[(p, encoder.encode([p])[0] if core else None) for p, core in d] for d in docs]
+    want = [encoder.whole(t.encode()) for t in texts]
+    assert encoder.repair(entries) == want
+    widths = []
+    real = bpe.window_edges
+
+    def spy(left, right, n):
+        widths.append(n)
+        return real(left, right, n)
+
+    mp = pytest.MonkeyPatch()
+    with mp.context() as m:  # the window's ids never begin as the core's end: it grows, then the text is encoded whole
+        m.setattr(bpe, "window_edges", spy)
+        m.setattr(bpe, "ends_with", lambda ids, part: False)
+        assert encoder.repair(entries) == want
+    assert max(widths) > 8
+    with mp.context() as m:  # agreement needs two words: the join's entry is the same
+        m.setattr(bpe, "starts_with", lambda ids, part: len(part.split()) != 1)
+        assert encoder.repair(entries) == want
+
+
+def test_words_without_ids_among_others():
+    encoder = bpe.Encoder(PATH)
+    words = [w.encode() for w in ["a", "\x85", "b", "\x85\x85", "\x85", "the", "<|x", "\a", "x\ay"]]
+    encoder.learn(words)
+    t = bpe.tokenizer(PATH)
+    for w in words:
+        ids = t.encode(w.decode(), add_special_tokens=False).ids
+        assert encoder.words[w] == encoder.entry(ids)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_encode_whole_texts(spark, name):
+    path = public_tokenizers.path(name)
+    t = bpe.tokenizer(path)
+    assert not bpe.Encoder(path).by_words
+    rows = list(enumerate(odd_texts()[:40]))
+    got = bpe.encode_documents(docs_of(spark, rows), path, block_mb=0.01, ids=True).collect()
+    for r in got:
+        ids = t.encode(rows[r.doc_id][1], add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_pieces_do_not_depend_on_neighbours():
     rng = random.Random(9)
     texts = [" ".join(rng.choice(["alpha", "be", "gamma,", "d"]) for _ in range(rng.randint(0, 300))).encode() for _ in range(60)]
