@@ -63,12 +63,16 @@ def as_int(text: Column) -> Column:
     return F.when(F.abs(x) < 2**31, F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))).cast("int")
 
 
+#: The longest spelling that is shown, and what a date or a time of day looks like.
+SHOWN = 20
+DATED = r"\d{1,2}/\d{1,2}(/\d{2,4})?\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}:\d{2}\b"
+
+
 def reportable(spelling: Column) -> Column:
-    """A spelling as a report may show it: verbatim if short and shaped like a unit, else its hash and length."""
-    words = F.size(F.filter(F.split(spelling, r"\s+"), lambda w: w != ""))
-    dated = spelling.rlike(r"\d{1,2}/\d{1,2}(/\d{2,4})?\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}:\d{2}\b")
-    plain = (F.length(spelling) <= 20) & (words <= 2) & ~spelling.contains(",") & ~dated
-    return F.when(plain, spelling).otherwise(F.concat(F.lit("text#"), F.substring(F.sha2(spelling, 256), 1, 12), F.lit("("), F.length(spelling).cast("string"), F.lit(" chars)")))
+    """A spelling as a report may show it: at most two words of at most `SHOWN` characters without a comma or a date
+    stand as they are, since free text could name a person; of anything else the report has digest and length."""
+    shown = spelling.rlike(rf"(?s)^(?=.{{0,{SHOWN}}}$)[^,]*$") & spelling.rlike(r"^\s*(\S+(\s+\S+)?)?\s*$") & ~spelling.rlike(DATED)
+    return F.when(shown, spelling).otherwise(F.format_string("text#%s(%s chars)", F.left(F.sha2(spelling, 256), F.lit(12)), F.length(spelling)))
 
 
 def item_id(kind: Column, system: Column, term: Column) -> Column:

@@ -104,3 +104,15 @@ def parse_rate(cell: Column, unit: Column) -> Column:
     """A rate as struct (source, number, unit, flag)."""
     own = strip(cell)
     return bind(parse_value(cell), lambda p: F.struct(own.alias("source"), p["number"].alias("number"), F.when(p["number"].isNull(), unit).otherwise(F.coalesce(unit, p["unit"])).alias("unit"), F.when(own.isNotNull() & p["number"].isNull(), "RATE_UNPARSED").alias("flag")))
+
+
+def numeric_or_quarantine(df, cell: str, unit: str | None = None, **options):
+    """(rows with `parsed`, refused rows) of a column that is declared numeric: a cell that no numeric form reads, nor
+    absence, a comparator, a signature or a sentinel, is refused with UNPARSEABLE_VALUE and its first 200 characters."""
+    from sparkloom.functions.storage import fresh
+
+    (name,) = fresh(df, "parsed")
+    out = df.withColumn(name, parse_value(F.col(cell), None if unit is None else F.col(unit), **options))
+    refused = F.col(name)["form"] == "text"
+    bad = out.where(refused).drop(name).withColumns({"reason": F.lit("UNPARSEABLE_VALUE"), "preview": F.substring(strip(F.col(cell)), 1, 200)})
+    return out.where(~refused), bad

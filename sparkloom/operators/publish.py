@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import split_name
+from sparkloom.functions.text import normalize_term
+from sparkloom.functions.values import parse_value
 from sparkloom.operators.relational import representative
 
 #: Kinds of the star's fact tables and the vocabulary domain that each of them holds.
@@ -50,6 +52,72 @@ def value_text(text: Column, low: Column, high: Column, number: Column) -> Colum
     return F.coalesce(text, ends, number.cast("string"))
 
 
+def note_rows(events: DataFrame, persons: DataFrame, lookup: DataFrame, types: dict[str, int], zone: str | None = None) -> DataFrame:
+    """Notes of published persons with their text as it stands; date and time by the clock of `zone`.
+
+    `persons`: subject_id, person_id; `lookup`: person_id, encounter_id, visit_id. A null text is empty. Notes are
+    named by their event; dense numbers come from `relational.surrogate_keys`, where they are wanted.
+    """
+    local = F.col("event_time") if zone is None else F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("event_time").cast("timestamp_ntz"))
+    notes = events.where("kind = 'note'").join(persons.select("subject_id", "person_id"), "subject_id")
+    notes = notes.join(lookup.select("person_id", "encounter_id", "visit_id"), ["person_id", "encounter_id"], "left")
+    return notes.select(
+        "event_id", "person_id", local.cast("date").alias("note_date"), local.alias("note_datetime"),
+        F.lit(types.get("note", 0)).alias("note_type_concept_id"), F.lit(types.get("note_class", 0)).alias("note_class_concept_id"),
+        F.substring("name", 1, 250).alias("note_title"), F.coalesce("value_text", F.lit("")).alias("note_text"),
+        F.col("visit_id").alias("visit_occurrence_id"), F.substring("code", 1, 50).alias("note_source_value"),
+    )
+
+
+def dose_map(doses: DataFrame, column: str, known_units: Sequence[str] | None = None, limit: float = 1e15) -> DataFrame:
+    """(dose, quantity, dose_unit) of the distinct doses: what `parse_value` reads. A number too large for the target
+    column is no quantity, and neither is one whose words are no known unit; the text is kept whole by the caller."""
+    p = parse_value(F.col("dose"), known_units=known_units)
+    out = doses.select(F.col(column).alias("dose")).where("dose IS NOT NULL").distinct().withColumn("p", p)
+    return out.select("dose", F.when(F.abs("p.number") < limit, F.col("p.number")).alias("quantity"), F.col("p.unit").alias("dose_unit"))
+
+
+def approved_map(values: DataFrame, system: str, column: str, registry: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(value, concept_id) of the distinct values: the approved mapping of (system, normalised value), if the
+    vocabulary has that concept, else 0. `registry`: code_system, term_key, concept_id."""
+    distinct = values.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
+    known = registry.where(F.col("code_system") == system).join(concepts.select("concept_id"), "concept_id", "left_semi")
+    hit = distinct.withColumn("term_key", normalize_term(F.col("value"))).join(known.select("term_key", "concept_id"), "term_key", "left")
+    return hit.select("value", F.coalesce("concept_id", F.lit(0)).cast("bigint").alias("concept_id"))
+
+
+def attribute_map(values: DataFrame, registry: DataFrame, concepts: DataFrame, domains: dict[str, str]) -> DataFrame:
+    """(attribute, value, concept_id) of the distinct values of demographic attributes: the approved mapping, else the
+    valid standard concept of the attribute's domain with exactly that name, in any case, else 0; the lowest id on ties.
+
+    `values`: attribute, value; `domains`: attribute -> domain, in upper case.
+    """
+    distinct = values.select(F.upper("attribute").alias("attribute"), "value").where("value IS NOT NULL").distinct()
+    distinct = distinct.withColumn("domain_id", _of(F.col("attribute"), domains)).where("domain_id IS NOT NULL").withColumn("term_key", normalize_term(F.col("value")))
+    approved = registry.select(F.col("code_system").alias("attribute"), "term_key", F.col("concept_id").alias("approved"))
+    named = concepts.where("standard_concept = 'S' AND valid").groupBy("domain_id", F.lower("concept_name").alias("folded")).agg(F.min("concept_id").alias("named"))
+    out = distinct.join(approved, ["attribute", "term_key"], "left").withColumn("folded", F.lower("value")).join(named, ["domain_id", "folded"], "left")
+    return out.select("attribute", "value", F.coalesce("approved", "named", F.lit(0)).cast("bigint").alias("concept_id"))
+
+
+def _of(key: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+#: Keys under which the registry has the type concepts of the star's tables (fixed values).
+TYPE_KEYS = (
+    "visit", "condition_problem_list", "drug_order", "drug_admin", "procedure", "measurement", "note", "note_class",
+    "death", "observation", "observation_period", "visit_detail",
+)
+
+
+def type_concepts(spark, registry: DataFrame) -> DataFrame:
+    """(key, concept_id) of the type concepts; 0 where the registry has none."""
+    keys = spark.createDataFrame([(k,) for k in TYPE_KEYS], "key string").withColumn("term_key", normalize_term(F.col("key")))
+    found = registry.where("code_system = 'TYPE_CONCEPT'").select("term_key", "concept_id")
+    return keys.join(found, "term_key", "left").select("key", F.coalesce("concept_id", F.lit(0)).cast("bigint").alias("concept_id"))
+
+
 def bounded_quantity(number: Column, limit: float = 1e15) -> Column:
     return F.when(F.abs(number) < limit, number).cast("decimal(18,3)")
 

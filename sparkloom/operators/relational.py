@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.storage import cut, fresh
+
 
 # filters and projections -------------------------------------------------------------------------
 
@@ -128,15 +130,27 @@ def fingerprint(df: DataFrame, columns: Sequence[str], shape) -> DataFrame:
 # windows -----------------------------------------------------------------------------------------
 
 
-def surrogate_keys(df: DataFrame, order: Sequence[str], name: str = "id", partitions: int | None = None) -> DataFrame:
-    """Dense numbers from 1 in a total order without a single-partition window: rows are range-partitioned and
-    numbered within their partition, and a sum of at most `partitions` counts gives each its offset."""
+def running_sum(df: DataFrame, order: Sequence[str], value: Column, name: str, partitions: int | None = None) -> DataFrame:
+    """Adds the sum of `value` over the rows up to each one, in a total order, without a single-partition window: rows are
+    range-partitioned and summed within their partition, and at most `partitions` sums give each its offset.
+
+    The ranged rows are written once: they are read twice, for the offsets and for the rows, and a range partitioning
+    that is computed twice may draw other bounds. Ties are ordered by a hash of the row, so many rows with one key
+    spread as well.
+    """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
-    return ranged.join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__r")).drop("__p", "__r", "__before")
+    part, own, ahead = fresh(df, "part", "own", "ahead")
+    keys = [*[F.col(c) for c in order], F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])]
+    ranged = cut(df.withColumn(own, value).repartitionByRange(n, *keys).withColumn(part, F.spark_partition_id()))
+    sums = ranged.groupBy(part).agg(F.sum(own).alias(ahead))
+    before = sums.select(part, (F.sum(ahead).over(Window.orderBy(part)) - F.col(ahead)).alias(ahead))
+    so_far = F.sum(own).over(Window.partitionBy(part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(own, so_far).join(F.broadcast(before), part).withColumn(name, F.col(ahead) + F.col(own)).select(*[c for c in df.columns if c != name], name)
+
+
+def surrogate_keys(df: DataFrame, order: Sequence[str], name: str = "id", partitions: int | None = None) -> DataFrame:
+    """Dense numbers from 1 in a total order, by `running_sum`."""
+    return running_sum(df, order, F.lit(1).cast("bigint"), name, partitions)
 
 
 def competing_targets(df: DataFrame, key: str, target: str) -> DataFrame:
@@ -174,15 +188,21 @@ def split_pair(df: DataFrame, cell: str, names: tuple[str, str], separator: str
     return df.where(F.col(cell).rlike(pattern)).select(*keep, F.explode(pair).alias("p")).select(*keep, "p.name", "p.value")
 
 
-def topk_dense(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """The k items nearest to each query by cosine, ties by id. `queries` is a stated set that is packed into one
-    row; every item meets it once and only the best k per query and partition leave a task.
+def topk_dense(queries: DataFrame, items: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """The k items nearest to each query by cosine, ties by id. The stated queries are packed into rows of about
+    `block`; every item meets every such row once, and only the best k per query and partition leave a task.
 
-    Columns: query_id, vector / item_id, vector. Rows: query_id, item_id, cosine, rank.
+    Columns: query_id, vector / item_id, vector. Rows: query_id, item_id, cosine, rank. A vector that is null, zero
+    or not finite, or of another length, has no cosine with anything and is in no row.
     """
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
-    q = queries.agg(F.collect_list(F.struct("query_id", unit(F.col("vector").cast("array<double>")).alias("v"))).alias("qs"))
-    pairs = items.withColumn("u", unit(F.col("vector").cast("array<double>"))).crossJoin(F.broadcast(q)).select("item_id", "u", F.explode("qs").alias("q"))
+    def unit(v: Column) -> Column:
+        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y))
+        return F.when((size > 0) & (size < float("inf")), F.transform(v, lambda x: F.try_divide(x, size)))
+
+    q = queries.select("query_id", unit(F.col("vector").cast("array<double>")).alias("v")).where("v IS NOT NULL")
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block))))).groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("qs"))
+    i = items.select("item_id", unit(F.col("vector").cast("array<double>")).alias("u")).where("u IS NOT NULL")
+    pairs = i.crossJoin(q.select("qs")).select("item_id", "u", F.explode("qs").alias("q")).where(F.size("u") == F.size("q.v"))
     dot = F.aggregate(F.zip_with("u", "q.v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select(F.col("q.query_id").alias("query_id"), "item_id", F.round(dot, 9).alias("cosine"))
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id")

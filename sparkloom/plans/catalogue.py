@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from sparkloom.plans import checking, extras, joining, merging, publishing, scalars  # noqa: F401
+from sparkloom.plans import checking, extras, joining, merging, publishing, scalars, star  # noqa: F401
 from sparkloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -187,11 +187,10 @@ def union_rules(t):
     return a.union(b).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("orders")).crossJoin(F.broadcast(either))
 
 
-@query("""SELECT 'left' AS side, k FROM (SELECT c_nationkey AS k FROM customer WHERE c_custkey % 50 = 0 EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0)
-UNION ALL SELECT 'right', k FROM (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 4 = 0 EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0)""")
+@query("""SELECT 'left' AS side, k FROM (SELECT p_partkey AS k FROM part EXCEPT SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'right', k FROM (SELECT l_orderkey AS k FROM lineitem EXCEPT SELECT p_partkey FROM part)""")
 def set_difference(t):
-    a = t.customer.where("c_custkey % 50 = 0").select(F.col("c_nationkey").alias("k"))
-    return relational.difference_both_ways(a, t.supplier.where("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("k")))
+    return relational.difference_both_ways(t.part.select(F.col("p_partkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k")))
 
 
 @query("""SELECT user_id, len(list_filter(list_distinct(list(date_trunc('day', ts))), lambda x: x <> TIMESTAMP '2024-01-05'))::INT AS other_days FROM events GROUP BY 1""")

@@ -115,7 +115,6 @@ def value_text(t):
 
 
 _CODES_SQL = "codes AS (SELECT DISTINCT p_brand AS code_system, CASE WHEN p_partkey % 2 = 0 THEN 'C.' || p_partkey ELSE 'c' || p_partkey END AS code FROM part WHERE p_partkey % 5 <> 3)"
-_REGISTRY = [("Brand#1", "c.10", 2), ("Brand#2", "c.24", 4)]
 
 
 def _codes(t):
@@ -125,13 +124,17 @@ def _codes(t):
 
 
 @query(f"""WITH {DOMAIN_SQL}, {RELATIONS_SQL}, {_CODES_SQL},
-x AS (SELECT k.code_system, k.code, s.concept_id, s.domain_id, 1 AS pass FROM codes k JOIN concepts c ON c.vocabulary_id = k.code_system AND c.concept_code = k.code JOIN relations r ON r.concept_id_1 = c.concept_id JOIN concepts s ON s.concept_id = r.concept_id_2 AND s.standard_concept = 'S' AND s.valid),
-y AS (SELECT k.code_system, k.code, s.concept_id, s.domain_id, 2 AS pass FROM codes k JOIN concepts c ON c.vocabulary_id = k.code_system AND upper(replace(c.concept_code, '.', '')) = upper(replace(k.code, '.', '')) JOIN relations r ON r.concept_id_1 = c.concept_id JOIN concepts s ON s.concept_id = r.concept_id_2 AND s.standard_concept = 'S' AND s.valid
+g AS (SELECT DISTINCT p_brand AS code_system, 'c.' || p_partkey AS term_key, p_partkey + 1 AS concept_id FROM part WHERE p_partkey % 4 = 0),
+a AS (SELECT k.code_system, k.code, s.concept_id FROM codes k JOIN g ON g.code_system = k.code_system AND g.term_key = lower(k.code) JOIN concepts s ON s.concept_id = g.concept_id AND s.standard_concept = 'S' AND s.valid),
+t AS (SELECT * FROM codes WHERE (code_system, code) NOT IN (SELECT (code_system, code) FROM a)),
+x AS (SELECT k.code_system, k.code, s.concept_id, s.domain_id, 1 AS pass FROM t k JOIN concepts c ON c.vocabulary_id = k.code_system AND c.concept_code = k.code JOIN relations r ON r.concept_id_1 = c.concept_id JOIN concepts s ON s.concept_id = r.concept_id_2 AND s.standard_concept = 'S' AND s.valid),
+y AS (SELECT k.code_system, k.code, s.concept_id, s.domain_id, 2 AS pass FROM t k JOIN concepts c ON c.vocabulary_id = k.code_system AND upper(replace(c.concept_code, '.', '')) = upper(replace(k.code, '.', '')) JOIN relations r ON r.concept_id_1 = c.concept_id JOIN concepts s ON s.concept_id = r.concept_id_2 AND s.standard_concept = 'S' AND s.valid
       WHERE (k.code_system, k.code) NOT IN (SELECT (code_system, code) FROM x)),
-b AS (SELECT code_system, code, min(concept_id) AS concept_id, CASE WHEN pass = 1 THEN 'exact' ELSE 'unpunctuated' END || CASE WHEN count(DISTINCT concept_id) > 1 THEN '_ambiguous' ELSE '' END AS path FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY code_system, code, pass)
+b AS (SELECT code_system, code, min(concept_id) AS concept_id, CASE WHEN pass = 1 THEN 'exact' ELSE 'unpunctuated' END || CASE WHEN count(DISTINCT concept_id) > 1 THEN '_ambiguous' ELSE '' END AS path FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY code_system, code, pass UNION ALL SELECT code_system, code, concept_id, 'registry' FROM a)
 SELECT k.code_system, k.code, b.concept_id, c.domain_id, b.path FROM codes k LEFT JOIN b USING (code_system, code) LEFT JOIN concepts c ON c.concept_id = b.concept_id""")
 def term_resolution(t):
-    registry = t.spark.createDataFrame(_REGISTRY, "code_system string, term_key string, concept_id long").where("false")
+    p = F.col("p_partkey")
+    registry = t.part.where(p % 4 == 0).select(F.col("p_brand").alias("code_system"), F.concat(F.lit("c."), p.cast("string")).alias("term_key"), (p + 1).alias("concept_id")).distinct()
     return terminology.resolve_terms(_codes(t), registry, concepts(t), relations(t))
 
 
@@ -182,19 +185,44 @@ def _drug_names(t):
     head = F.upper("p_name")
     name = (
         F.when(k == 0, F.concat(head, F.lit(" "), s, F.lit(" MG TABLET"))).when(k == 1, F.concat(head, F.lit(" "), s, F.lit(" MCG/ML INJECTION"))).when(k == 2, F.concat(head, F.lit(" 0."), s, F.lit(" % CREAM")))
-        .when(k == 3, F.concat(head, F.lit(" "), s, F.lit(" MG-"), F.upper("p_type"), F.lit(" 5 MG CAPSULE"))).when(k == 4, F.concat(head, F.lit(" 1:1,000 PRN"))).otherwise(head)
+        .when(k == 3, F.concat(head, F.lit(" "), s, F.lit(" MG-"), F.lit("X"), F.upper("p_type"), F.lit(" 5 MG CAPSULE"))).when(k == 4, F.concat(head, F.lit(" 1:1,000 PRN"))).otherwise(head)
     )
     return t.part.select(name.alias("name"))
 
 
-@query()
+_NAMES_SQL = """n AS (SELECT DISTINCT p_partkey % 6 AS k, upper(p_name) AS head, 'X' || upper(p_type) AS kind_name, p_size FROM part),
+names AS (SELECT *, CASE k WHEN 0 THEN head || ' ' || p_size || ' MG TABLET' WHEN 1 THEN head || ' ' || p_size || ' MCG/ML INJECTION' WHEN 2 THEN head || ' 0.' || p_size || ' % CREAM'
+  WHEN 3 THEN head || ' ' || p_size || ' MG-' || kind_name || ' 5 MG CAPSULE' WHEN 4 THEN head || ' 1:1,000 PRN' ELSE head END AS name FROM n)"""
+
+
+@query(f"""WITH {_NAMES_SQL} SELECT DISTINCT name, CASE k WHEN 0 THEN 'TABLET' WHEN 1 THEN 'INJECTION' WHEN 2 THEN 'CREAM' WHEN 3 THEN 'CAPSULE' END AS dose_form, k <> 5 AS had_number,
+CASE k WHEN 3 THEN 2 ELSE 1 END::INT AS components, CASE k WHEN 4 THEN head || ' PRN' ELSE head END AS ingredient, CASE WHEN k IN (0, 3) THEN 'amount' WHEN k <> 5 THEN 'ratio' END AS kind,
+CASE WHEN k IN (0, 1, 3) THEN p_size::DOUBLE WHEN k = 2 THEN ('0.' || p_size)::DOUBLE WHEN k = 4 THEN 1.0::DOUBLE END AS value, CASE WHEN k IN (0, 3) THEN 'mg' WHEN k = 1 THEN 'ug' WHEN k IN (2, 4) THEN 'g' END AS unit,
+CASE k WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 100.0::DOUBLE WHEN 4 THEN 1000.0::DOUBLE END AS below, CASE WHEN k IN (1, 2, 4) THEN 'mL' END AS unit_below FROM names""")
 def drug_name_parse(t):
     p = drugs.parse_drug_names(_drug_names(t), "name")
     first = F.element_at("parsed.components", 1)
-    return p.select("name", "parsed.dose_form", "parsed.had_number", F.size("parsed.components").alias("components"), first["name"].alias("ingredient"), first["kind"].alias("kind"), first["value"].alias("value"), first["unit"].alias("unit"))
-
-
-@query()
+    return p.select("name", "parsed.dose_form", "parsed.had_number", F.size("parsed.components").alias("components"), first["name"].alias("ingredient"), *[first[c].alias(c) for c in ("kind", "value", "unit", "below", "unit_below")])
+
+
+def _drug_vocabulary(t):
+    """One ingredient per name of `part`, one tablet per sixth part, in the tables of a vocabulary."""
+    s, none = t.spark, F.lit(None).cast("string")
+    concept = lambda df, i, name, kind, code, std: df.select(i.cast("bigint").alias("concept_id"), name.alias("concept_name"), F.lit("Drug").alias("domain_id"), F.lit("RxNorm").alias("vocabulary_id"), F.lit(kind).alias("concept_class_id"), F.lit(std).alias("standard_concept"), code.alias("concept_code"), none.alias("invalid_reason"))
+    named = t.part.groupBy("p_name").agg((F.min("p_partkey") + 1000).alias("ingredient"))
+    made = t.part.where("p_partkey % 6 = 0").join(named, "p_name").withColumn("drug", F.col("p_partkey") + 10_000_000)
+    label = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" MG Oral Tablet"))
+    fixed = s.createDataFrame([(1, "milligram", "Unit", "UCUM", "Unit", "S", "mg", None), (5, "Oral Tablet", "Drug", "RxNorm", "Dose Form", None, "5", None)], "concept_id long, concept_name string, domain_id string, vocabulary_id string, concept_class_id string, standard_concept string, concept_code string, invalid_reason string")
+    concepts_ = fixed.unionByName(concept(named, F.col("ingredient"), F.col("p_name"), "Ingredient", none, "S")).unionByName(concept(made, F.col("drug"), label, "Clinical Drug", none, "S"))
+    forms = made.select(F.col("drug").alias("concept_id_1"), F.lit(5).cast("bigint").alias("concept_id_2"), F.lit("RxNorm has dose form").alias("relationship_id"), none.alias("invalid_reason"))
+    blank = {f"{c}_value": none for c in ("numerator", "denominator")} | {f"{c}_unit_concept_id": F.lit(None).cast("bigint") for c in ("numerator", "denominator")}
+    strengths = made.select(F.col("drug").alias("drug_concept_id"), F.col("ingredient").alias("ingredient_concept_id"), F.col("p_size").cast("string").alias("amount_value"), F.lit(1).cast("bigint").alias("amount_unit_concept_id"), none.alias("invalid_reason")).withColumns(blank)
+    return concepts_, forms, strengths
+
+
+@query(f"""WITH {_NAMES_SQL}, d AS (SELECT upper(p_name) AS head, p_size, min(p_partkey) + 10000000 AS drug, count(*) AS n FROM part WHERE p_partkey % 6 = 0 GROUP BY 1, 2), i AS (SELECT upper(p_name) AS head, min(p_partkey) + 1000 AS ingredient FROM part GROUP BY 1)
+SELECT DISTINCT name, CASE WHEN k = 0 THEN CASE WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END WHEN k IN (1, 2) THEN 'no_dose_form' WHEN k IN (3, 4) THEN 'no_ingredient' ELSE 'unique' END AS status,
+CASE WHEN k = 0 AND n = 1 THEN drug WHEN k = 5 THEN ingredient END AS concept_id, CASE k WHEN 0 THEN 'as_written' WHEN 5 THEN 'ingredient' END AS route, CASE k WHEN 0 THEN n WHEN 5 THEN 1 ELSE 0 END::BIGINT AS candidates
+FROM names LEFT JOIN d USING (head, p_size) LEFT JOIN i USING (head)""")
 def drug_match(t):
-    products = t.part.where("p_partkey % 6 = 0").select(F.col("p_partkey").alias("product_id"), F.upper("p_name").alias("ingredient"), F.col("p_size").cast("double").alias("strength"), F.lit("tablet").alias("form"))
-    return drugs.match_drugs(drugs.parse_drug_names(_drug_names(t), "name"), products, "name")
+    return drugs.match_drugs(_drug_names(t), drugs.drug_index(*_drug_vocabulary(t)))

@@ -233,12 +233,6 @@ def review_spellings(t):
     return t.part.select("p_partkey", text.item_id(F.lit("term"), F.col("p_brand"), F.col("p_name")).alias("item_id"), text.reportable(both).alias("spelling"))
 
 
-@query()
-def unit_family_reduction(t):
-    u = F.element_at(F.array(*[F.lit(x) for x in ("mmol/L", "umol/L", "mg/dL", "10*3/uL", "ng/mL", "mEq/L", "kg/m2", "h", "[degF]")]), (F.col("p_partkey") % 9 + 1).cast("int"))
-    return units.unit_families(t.part.select(u.alias("unit")))
-
-
 @query("""SELECT source, regexp_replace(regexp_replace(url, '[0-9]', '9', 'g'), '[A-Za-z]', 'a', 'g') AS shape, count(*) AS n FROM (SELECT 'pages' AS source, url FROM pages) GROUP BY 1, 2""")
 def masked_shapes(t):
     return t.pages.groupBy(F.lit("pages").alias("source"), text.mask_shape(F.col("url")).alias("shape")).agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import fnmatch
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,25 +30,34 @@ def sniff(spark: SparkSession, path: str, head: int = 1 << 16) -> dict[str, obje
 def _cells(line: Column, delimiter: str, quoted: bool) -> Column:
     if not quoted:
         return F.split(line, f"\\Q{delimiter}\\E", -1)
-    pattern = rf'\Q{delimiter}\E("(?:[^"]|"")*"|(?:(?!\Q{delimiter}\E).)*)'  # each cell after a delimiter: no match is empty
+    pattern = rf'(?s)\Q{delimiter}\E("(?:[^"]|"")*"|(?:(?!\Q{delimiter}\E).)*)'  # each cell after a delimiter: no match is empty
     return F.transform(F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(pattern), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
 def delimited(spark: SparkSession, path: str, *, delimiter: str = ",", quoted: bool = True, header: int = 1, encoding: str = "UTF-8") -> DataFrame:
     """Data rows of one file as (row_number from 1, cells, raw, columns), whatever their width.
 
-    Rows are kept as lines so that those of the wrong width survive for quarantine. The numbering needs the order
-    within the file: one range-partitioned sort by position, no single task.
+    Rows are kept as text so that those of the wrong width survive for quarantine. The numbering needs the order
+    within the file: a range-partitioned sort by position, no single task. Where quotes are left open at the end of a
+    line, the lines up to the one that closes them are one row: a row begins where the quotes so far are even.
     """
+    from sparkloom.operators.relational import running_sum, surrogate_keys
+
     lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
-    lines = lines.select(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^﻿", "").alias("line"))
-    head = lines.orderBy("b", "i").limit(header).collect()
+    lines = lines.select(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^\ufeff", "").alias("line"))
+    odd = F.regexp_count("line", F.lit('"')) % 2
+    if quoted and lines.where(odd == 1).take(1):
+        open_after = running_sum(lines.withColumn("odd", odd), ["b", "i"], F.col("odd"), "quotes")
+        starts = ((F.col("quotes") - F.col("odd")) % 2 == 0).cast("bigint")
+        rows = running_sum(open_after, ["b", "i"], starts, "n").groupBy("n")
+        numbered = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", "line"))), lambda x: x["line"]), "\n").alias("line"))
+    else:
+        numbered = surrogate_keys(lines, ["b", "i"], "n")
+    head = numbered.where(F.col("n") <= header).orderBy("n").collect()
     names = normalize_header(next(csv.reader([head[-1]["line"]], delimiter=delimiter)) if head else [])
-    from sparkloom.operators.relational import surrogate_keys
-
-    numbered = surrogate_keys(lines, ["b", "i"], "n").where(F.col("n") > header).where("line <> ''")
+    data = numbered.where(F.col("n") > header).where("line <> ''")
     columns = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    return numbered.select((F.col("n") - header).alias("row_number"), _cells(F.col("line"), delimiter, quoted).alias("cells"), F.col("line").alias("raw"), columns.alias("columns"))
+    return data.select((F.col("n") - header).alias("row_number"), _cells(F.col("line"), delimiter, quoted).alias("cells"), F.col("line").alias("raw"), columns.alias("columns"))
 
 
 def ingest(rows: DataFrame, names: list[str], *, person_columns: list[str], dataset: str, partition: str, source: str, file_hash: str) -> tuple[DataFrame, DataFrame]:
@@ -137,3 +147,88 @@ def write_table(df: DataFrame, path: str, *, bucket: str | None = None) -> None:
 def read_tables(spark: SparkSession, *paths: str) -> DataFrame:
     """Files of one source whose columns may differ; missing ones are null."""
     return spark.read.option("mergeSchema", True).parquet(*paths)
+
+
+def registry(spark: SparkSession, *paths: str) -> DataFrame:
+    """(code_system, term_key, concept_id, concept_name, domain_id) of mapping files, keyed by system and normalised
+    string; two concepts under one key raise when the plan runs. An empty concept id is no mapping."""
+    from sparkloom.functions.text import normalize_term
+
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(list(paths))
+    rows = rows.select("code_system", normalize_term(F.col("source_string")).alias("term_key"), F.col("concept_id").try_cast("bigint").alias("concept_id"), "concept_name", "domain_id").where("concept_id IS NOT NULL")
+    g = rows.groupBy("code_system", "term_key").agg(F.min("concept_id").alias("concept_id"), F.max("concept_id").alias("other"), F.min("concept_name").alias("concept_name"), F.min("domain_id").alias("domain_id"))
+    return g.where(F.assert_true(F.col("concept_id") == F.col("other"), F.lit("one term has two approved concepts")).isNull()).drop("other")
+
+
+def reference_units(spark: SparkSession, *paths: str) -> DataFrame:
+    """(spelling, ucum) of unit tables: source_unit, ucum; spellings are folded, a contradiction raises when the plan runs."""
+    from sparkloom.functions.units import unit_key
+
+    rows = spark.read.option("header", True).csv(list(paths)).select(unit_key(F.col("source_unit")).alias("spelling"), F.nullif(F.trim("ucum"), F.lit("")).alias("ucum"))
+    return unique_reference(rows, ["spelling"], "ucum")
+
+
+def reference_conversions(spark: SparkSession, *paths: str) -> DataFrame:
+    """(from_ucum, to_ucum, factor, offset); a unit that is converted twice, or a factor that is no number, raises."""
+    rows = spark.read.option("header", True).csv(list(paths)).select("from_ucum", "to_ucum", "factor", F.coalesce("offset", F.lit("0")).alias("offset"))
+    number = r"^[+-]?(\d+\.?\d*|\.\d+)(/\d+)?$"
+    rows = rows.where(F.assert_true(F.col("factor").rlike(number) & F.col("offset").rlike(number), F.lit("a factor or offset is no number")).isNull())
+    n = rows.groupBy("from_ucum").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("to_ucum", "factor", "offset")])
+    return n.where(F.assert_true(F.col("n") == 1, F.lit("a unit is converted twice")).isNull()).drop("n")
+
+
+def reference_ranges(spark: SparkSession, *paths: str) -> DataFrame:
+    """(code_system, code, ucum, low, high); open ends are null; a low end above the high one raises."""
+    rows = spark.read.option("header", True).csv(list(paths))
+    rows = rows.select("code_system", F.col("source_code").alias("code"), F.nullif(F.trim("ucum"), F.lit("")).alias("ucum"), F.col("low").try_cast("double").alias("low"), F.col("high").try_cast("double").alias("high"))
+    ordered = F.coalesce(F.col("low") <= F.col("high"), F.lit(True))
+    return rows.where(F.assert_true(ordered, F.lit("a range ends before it starts")).isNull())
+
+
+def wide_view(spark: SparkSession, path: str, subject: str | None = None, one_in: int = 1, columns: list[str] | None = None) -> DataFrame:
+    """A (compressed) delimited file as a view, every column text; optionally the columns that are wanted, and the rows
+    of one subject in so many, by a hash of its id."""
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    rows = rows if subject is None or one_in <= 1 else rows.where(F.pmod(F.xxhash64(subject), F.lit(one_in)) == 0)
+    return rows.select(*columns) if columns else rows
+
+
+#: Column types of table definitions and what they are here (fixed values).
+TYPES = {"integer": "int", "int": "int", "bigint": "bigint", "smallint": "smallint", "float": "double", "double": "double", "real": "float", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp_ntz", "text": "string", "varchar": "string", "char": "string", "boolean": "boolean"}
+
+
+def schemas_of_ddl(text: str) -> dict[str, str]:
+    """Table -> schema of the CREATE TABLE statements of a script; NUMERIC(p, s) stays a decimal, without p it is (38, 9)."""
+    found = {}
+    for name, body in re.findall(r"(?is)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?([\w.@\"]+)\s*\((.*?)\)\s*;", re.sub(r"--[^\n]*", "", text)):
+        columns = []
+        for line in re.split(r",(?![^(]*\))", body):
+            if m := re.match(r"(?is)\s*\"?(\w+)\"?\s+(\w+)\s*(\([\d\s,]+\))?", line):
+                column, kind, size = m.groups()
+                if column.lower() in ("primary", "foreign", "constraint", "unique", "check"):
+                    continue
+                kind = kind.lower()
+                columns.append(f"`{column.lower()}` " + (f"decimal{re.sub(r'\s', '', size or '(38,9)')}" if kind in ("numeric", "decimal") else TYPES[kind]))
+        found[name.split(".")[-1].strip('"').lower()] = ", ".join(columns)
+    return found
+
+
+def create_tables(spark: SparkSession, ddl: str, folder: str) -> list[str]:
+    """Writes an empty table in `folder` for each definition of the script; the names."""
+    schemas = schemas_of_ddl(ddl)
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    return list(schemas)
+
+
+def insert_rows(spark: SparkSession, folder: str, table: str, rows: list[tuple]) -> None:
+    """Appends rows from the driver to a table in one write, with its own schema. For small lists (maps, metadata)."""
+    path = f"{folder.rstrip('/')}/{table}"
+    spark.createDataFrame(rows, spark.read.parquet(path).schema).write.mode("append").parquet(path)
+
+
+def subject_tables(spark: SparkSession, folder: str, function, schema: str, subject: str = "subject_id", order: tuple[str, ...] = ("time",)) -> DataFrame:
+    """`function(frame of one subject, in order)` over every subject of a table: what an iterator over subject-contiguous
+    files gives, spread over the executors. A subject's rows are in one task at a time."""
+    rows = spark.read.parquet(folder)
+    return rows.groupBy(subject).applyInPandas(lambda pdf: function(pdf.sort_values(list(order), ignore_index=True, na_position="first")), schema)

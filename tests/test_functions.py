@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions import hashing, text, times, units, values
-from sparkloom.operators import drugs, merge, relational
+from sparkloom.operators import merge, relational
 from sparkloom.sources import files
 
 
@@ -66,29 +66,37 @@ def test_text(spark):
 
 
 @pytest.mark.parametrize(("a", "b", "same"), [("mmol/L", "umol/L", True), ("mmol/L", "mg/dL", False), ("10*3/uL", "10*6/uL", True), ("mEq/L", "mmol/L", True), ("ng/mL", "ng/mL{FEU}", False), ("hours", "h", True)])
-def test_unit_family(a, b, same):
-    assert (units.family(a) == units.family(b)) is same
+def test_unit_family(spark, a, b, same):
+    assert (one(spark, units.family(F.col("c")), c=a) == one(spark, units.family(F.col("c")), c=b)) is same
 
 
-def test_linked_families():
-    r = units.linked_families([("a", "b"), ("c", "b")], ["a", "b", "c", "d"])
-    assert r["a"] == r["b"] == r["c"] != r["d"]
+@pytest.mark.parametrize(("unit", "want"), [(" 10*3 / uL", "1/l"), ("mL/min/{1.73_m2}", "l/min/{1.73_m2}"), ("mg.h/L", "g.h/l"), ("x10E3/uL", "1/l"), ("hrs", "h"), ("IU/mL", "u/l"), ("mIU/L", "u/l"), ("dag", "g"), ("2.5 mg", "2.5 mg"), ("cm2", "m"), ("", "1"), ("/hpf", "1/hpf"), ("%", "%")])
+def test_unit_family_by_rule(spark, unit, want):
+    assert one(spark, units.family(F.col("c")), c=unit) == want
+    assert one(spark, units.family(F.col("c")), c=None) is None
 
 
-@pytest.mark.parametrize(
-    ("name", "form", "parts"),
-    [
-        ("Heparin 5,000 units/ml injection", "INJECTION", [("HEPARIN", "ratio", 5000.0, "[U]", 1.0, "mL")]),
-        ("AMOX 875 MG-CLAV 125 MG TABLET", "TABLET", [("AMOX", "amount", 875.0, "mg", None, None), ("CLAV", "amount", 125.0, "mg", None, None)]),
-        ("EPINEPHRINE 1:1,000", None, [("EPINEPHRINE", "ratio", 1.0, "g", 1000.0, "mL")]),
-        ("SALINE 0.9 % SOLUTION", "SOLUTION", [("SALINE", "ratio", 0.9, "g", 100.0, "mL")]),
-        ("PLAIN-NAME", None, [("PLAIN-NAME", None, None, None, None, None)]),
-        (None, None, None),
-    ],
-)
-def test_drug_names(name, form, parts):
-    got = drugs.parse_drug_name(name)
-    assert got[0] == form and got[2] == parts
+@pytest.mark.parametrize(("value", "factor", "offset", "want"), [(98.6, "5/9", "-160/9", 37.0), (0.1, "10", "0", 1.0), (1e21, "2", "1", 2e21), (1e-12, "1000", "0", 1e-9), (7.0, "0.0555", "0", 0.3885), (None, "2", "0", None), (3.0, "x", "0", None)])
+def test_conversions_are_exact(spark, value, factor, offset, want):
+    df = spark.createDataFrame([(value, factor, offset)], "v double, f string, o string")
+    assert df.select(units.exact_conversion(F.col("v"), F.col("f"), F.col("o"))).first()[0] == want
+
+
+def test_wild_values_do_not_stop_the_table(spark):
+    rows = spark.createDataFrame([("s", "c", "a", 1e21), ("s", "c", "a", 1.0), ("s", "c", "a", 1e308), ("s", "c", "a", None), ("s", "c", "a", float("nan"))], "code_system string, code string, unit string, value double")
+    u, c = spark.createDataFrame([("a", "x"), ("A ", "x")], "spelling string, ucum string"), spark.createDataFrame([("x", "y", "10", "0")], "from_ucum string, to_ucum string, factor string, offset string")
+    r = spark.createDataFrame([], "code_system string, code string, ucum string, low double, high double")
+    got = units.normalize_units(rows, u, c, r).select("value", "value_normalized", "unit_flags").collect()
+    assert sorted((str(x.value), str(x.value_normalized), x.unit_flags) for x in got) == [("1.0", "10.0", []), ("1e+21", "1e+22", []), ("1e+308", "None", ["UNIT_OVERFLOW"]), ("None", "None", []), ("nan", "None", ["UNIT_OVERFLOW"])]
+    with pytest.raises(Exception, match="two codes"):
+        units.normalize_units(rows, u.union(spark.createDataFrame([("a", "z")], u.schema)), c, r).collect()
+
+
+def test_vectors_without_a_cosine(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id long, vector array<double>")
+    i = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [1.0, 1.0])], "item_id long, vector array<double>")
+    got = relational.topk_dense(q, i, 5, block=1).collect()
+    assert sorted((r.query_id, r.item_id, r["rank"]) for r in got) == [(1, 1, 1), (1, 6, 2)]
 
 
 def test_merge_does_not_depend_on_order(spark):
@@ -142,7 +150,68 @@ def test_sheets_tables_and_patterns(spark, tmp_path):
         files.unique_reference(spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int"), ["k"], "v").collect()
 
 
-def test_surrogate_keys_are_dense(spark):
-    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("id"))
-    got = relational.surrogate_keys(df, ["id"], "n", partitions=7)
-    assert got.where("n <> id + 1").count() == 0 and got.count() == 1000
+@pytest.mark.parametrize("columns", [["id"], ["name"], ["id", "name", "half"], ["half"]])
+@pytest.mark.parametrize("partitions", [1, 4, 9])
+def test_surrogate_keys_are_dense(spark, columns, partitions):
+    df = spark.range(20000, numPartitions=6).select((F.col("id") * 7919 % 20000).alias("id"), F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 2).alias("half"))
+    got = relational.surrogate_keys(df, ["id"], "n", partitions=partitions)
+    assert sorted(r.n for r in got.select("n", *columns).collect()) == list(range(1, 20001))
+    assert got.where("n <> id + 1").count() == 0
+    tied = relational.surrogate_keys(df, ["half"], "n", partitions=partitions).select("n", *columns).collect()
+    assert sorted(r.n for r in tied) == list(range(1, 20001))
+
+
+def test_rows_with_line_breaks_keep_their_numbers(spark, tmp_path):
+    text = 'a,b\r\n1,"x\r\ny, ""q""\n"\r\n2,z\r\n\r\n3,"open\n'
+    (tmp_path / "f.csv").write_bytes(b"\xef\xbb\xbf" + text.encode())
+    got = sorted(files.delimited(spark, str(tmp_path / "f.csv")).collect(), key=lambda r: r.row_number)
+    assert [(r.row_number, r.cells) for r in got][:2] == [(1, ["1", 'x\ny, "q"\n']), (2, ["2", "z"])]
+    assert got[0].columns == ["a", "b"] and got[-1].raw.startswith('3,"open')
+
+
+def test_reference_files(spark, tmp_path):
+    def write(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    m = write("m.csv", "source_string,code_system,concept_id,concept_name,domain_id\nFoo (Bar),S,12,x,D\nfoo bar,S,12,x,D\nbaz,S,,x,D\n")
+    assert [tuple(r)[:3] for r in files.registry(spark, m).collect()] == [("S", "foo bar", 12)]
+    with pytest.raises(Exception, match="two approved"):
+        files.registry(spark, m, write("m2.csv", "source_string,code_system,concept_id,concept_name,domain_id\nFOO BAR,S,13,x,D\n")).collect()
+    assert sorted(map(tuple, files.reference_units(spark, write("u.csv", "source_unit,ucum,basis\nMG,mg,b\nmg,mg,b\nnone,,b\n")).collect())) == [("mg", "mg"), ("none", None)]
+    assert files.reference_conversions(spark, write("c.csv", "from_ucum,to_ucum,factor,offset,basis\na,b,5/9,-160/9,x\n")).collect()[0].factor == "5/9"
+    with pytest.raises(Exception, match="twice"):
+        files.reference_conversions(spark, write("c2.csv", "from_ucum,to_ucum,factor,offset,basis\na,b,2,0,x\na,c,2,0,x\n")).collect()
+    with pytest.raises(Exception, match="before it starts"):
+        files.reference_ranges(spark, write("r.csv", "code_system,source_code,ucum,low,high,basis\ns,c,mg,5,1,x\n")).collect()
+    assert files.reference_ranges(spark, write("r2.csv", "code_system,source_code,ucum,low,high,basis\ns,c,,,1,x\n")).collect()[0].low is None
+
+
+def test_tables_of_a_script(spark, tmp_path):
+    ddl = "--comment\nCREATE TABLE cdm.person (\n person_id integer NOT NULL,\n born TIMESTAMP NULL, name varchar(50) NULL, amount NUMERIC(18, 3), x NUMERIC );\nCREATE TABLE note (note_id bigint, note_text TEXT, PRIMARY KEY (note_id));"
+    assert files.create_tables(spark, ddl, str(tmp_path)) == ["person", "note"]
+    assert spark.read.parquet(str(tmp_path / "person")).schema.simpleString() == "struct<person_id:int,born:timestamp_ntz,name:string,amount:decimal(18,3),x:decimal(38,9)>"
+    files.insert_rows(spark, str(tmp_path), "note", [(1, "a"), (2, None)])
+    assert spark.read.parquet(str(tmp_path / "note")).count() == 2
+    got = files.subject_tables(spark, str(tmp_path / "note"), lambda pdf: pdf.assign(n=len(pdf))[["note_id", "n"]], "note_id long, n long", subject="note_id", order=("note_text",))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1)]
+
+
+def test_wide_view_and_ranking(spark, tmp_path):
+    (tmp_path / "w.csv").write_text('id,a,b\n1,"x\ny",2\n2,z,3\n')
+    assert files.wide_view(spark, str(tmp_path / "w.csv"), columns=["a"]).collect()[0].a == "x\ny"
+    assert files.wide_view(spark, str(tmp_path / "w.csv"), "id", 1).count() == 2
+    from sparkloom.operators import terminology
+
+    c = spark.createDataFrame([("t", i, f"n{i}", i) for i in range(4)], "term string, concept_id long, concept_name string, rank int")
+    got = terminology.rank_with_model(c, lambda term, names: [2, 9, 2, "x", 0]).orderBy("rank").collect()
+    assert [(r.concept_id, r["rank"]) for r in got] == [(2, 1), (0, 2), (1, 3), (3, 4)]
+
+
+def test_common_words_find_candidates_too(spark):
+    from sparkloom.operators import terminology
+
+    c = spark.createDataFrame([(i, f"common w{i}") for i in range(30)], "concept_id long, concept_name string")
+    q = spark.createDataFrame([("a", "common w3"), ("b", "common"), ("c", "none of them")], "query_id string, text string")
+    got = terminology.lexical_candidates(q, c, 2, common=5).collect()
+    assert sorted((r.query_id, r.concept_id, r.hits) for r in got) == [("a", 3, 2), ("b", 0, 1), ("b", 1, 1)]
