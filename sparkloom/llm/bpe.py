@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,12 @@ from pyspark.sql import DataFrame
 
 from sparkloom.llm.blocks import SPACES, chunks, in_blocks, mix, pack, unpack
 
-#: A chunk ends where the rolling hash of 16 bytes has so many zero bits: every 256 bytes on average.
-CUT_BITS, REACH = 8, 16
-#: Words that a task remembers at most when it turns to the next documents.
+#: A chunk ends where the rolling hash of 16 bytes has so many zero bits: every 1024 bytes on average.
+CUT_BITS, REACH = 10, 16
+#: What a piece or text encodes to: its ids as decimal text and the ids' names, both with spaces between.
+Entry = tuple[bytes, bytes]
+NOTHING: Entry = (b"", b"")
+#: When a worker remembers so many words, it goes on with those it meets again; the others are forgotten the next time.
 REMEMBER = 250_000
 
 
@@ -94,8 +98,23 @@ def parts_at_space(t) -> bool:
     return True
 
 
+def without_normaliser(t):
+    """For a tokenizer of which `parts_at_space` holds: one that leaves out the normaliser, for ASCII words in the case
+    it expects; whether that is lower case; the suffix of a word's last id. (None, False, b"") where it can't be made."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(t.to_str())
+    lower = "Lowercase" in json.dumps(spec["normalizer"] or {})
+    suffix = (spec["model"].get("end_of_word_suffix") or "").encode()
+    bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+    for words in ("It's A TEST, x1-y2 (ok) <a|b> \x00\x7f", "The quick Brown fox", "".join(map(chr, range(33, 127)))):
+        if bare.encode(words.lower() if lower else words, add_special_tokens=False).ids != t.encode(words, add_special_tokens=False).ids:
+            return None, False, b""
+    return bare, lower, suffix
+
+
 class Encoder:
-    """Ids of pieces as (number, decimal text, decoded text).
+    """Entries of pieces.
 
     Where white space parts words exactly (`by_words`, checked when the file is read), a piece is put together from
     its words, and words that were met before are not encoded again.
@@ -106,92 +125,132 @@ class Encoder:
         size = range(self.tokenizer.get_vocab_size())
         self.names = [(t or "").encode() for t in map(self.tokenizer.id_to_token, size)]
         self.decimals = [b"%d" % i for i in size]
-        self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.words: dict[bytes, Entry] = {}
+        self.older: dict[bytes, Entry] = {}
         self.by_words = parts_at_space(self.tokenizer)
+        self.bare, self.lower, self.suffix = without_normaliser(self.tokenizer) if self.by_words else (None, False, b"")
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.bell = ids("\a")[0] if ids("a \a b") == ids("a") + ids("\a") + ids("b") and len(ids("\a")) == 1 else None
 
-    def entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), b" ".join([self.decimals[i] for i in ids]), b" ".join([self.names[i] for i in ids])
+    def entry(self, ids: list[int]) -> Entry:
+        return b" ".join([self.decimals[i] for i in ids]), b" ".join([self.names[i] for i in ids])
 
     def learn(self, words: list[bytes]) -> None:
-        """Remembers each word's entry. A call costs more than a word, so words go in lines, parted by a bell: a word of
-        its own with one id that no other byte makes. Words that hold a bell or may hold a special token go alone."""
-        alone = [w for w in words if self.bell is None or b"\a" in w or b"<|" in w]
-        rest = [w for w in words if not (self.bell is None or b"\a" in w or b"<|" in w)]
+        """Remembers each word's entry. A call costs more than a word, so words go in lines.
+
+        The normaliser leaves ASCII words as they are but for their case, so these go to a tokenizer without it. Words
+        of letters are parted by the suffix that ends a word's last id. Others are parted by a bell: a word of its own
+        with one id that no other byte makes. Words that hold a bell or may hold a special token go alone.
+        """
+        letters = [w for w in words if w.isalpha()] if self.suffix else []
+        others = [w for w in words if not w.isalpha()] if self.suffix else words
+        for line, e in self.lines(letters, b" ", self.bare):
+            own, decoded = [self.decimals[i] for i in e.ids], b" ".join([self.names[i] for i in e.ids])
+            parts = decoded.split(self.suffix + b" ")
+            if len(parts) != len(line):  # some word is no single run of letters to the tokenizer
+                others += line
+                continue
+            parts = [x + self.suffix for x in parts[:-1]] + parts[-1:]
+            ids = iter(own)
+            self.words.update(zip(line, [(b" ".join(islice(ids, x.count(b" ") + 1)), x) for x in parts], strict=True))
+        whole = b"\n".join(others)
+        alone = [w for w in others if b"\a" in w or b"<|" in w] if b"\a" in whole or b"<|" in whole else []
+        rest = [w for w in others if not (b"\a" in w or b"<|" in w)] if alone else others
+        alone, rest = (others, []) if self.bell is None else (alone, rest)
         for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
             self.words[w] = self.entry(e.ids)
-        lines = [rest[i : i + 64] for i in range(0, len(rest), 64)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([b" \a ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
-            _, own, decoded = self.entry(e.ids)
-            own, decoded = own.split(b" %d " % self.bell), decoded.split(b" " + self.names[self.bell] + b" ")
-            if len(own) == len(decoded) == len(line):
-                self.words.update(zip(line, [(a.count(b" ") + 1, a, b) for a, b in zip(own, decoded, strict=True)], strict=True))
-                continue
-            ids, at = [*e.ids, self.bell], 0  # a word without ids is among them
-            for w in line:
-                end = ids.index(self.bell, at)
-                self.words[w] = self.entry(ids[at:end])
-                at = end + 1
-
-    def encode(self, wanted: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        ascii_, wide = ([w for w in rest if w.isascii()], [w for w in rest if not w.isascii()]) if self.bare else ([], rest)
+        for some, tokenizer in ((ascii_, self.bare), (wide, self.tokenizer)):
+            for line, e in self.lines(some, b" \a ", tokenizer):
+                own, decoded = self.entry(e.ids)
+                own, decoded = own.split(b" %d " % self.bell), decoded.split(b" " + self.names[self.bell] + b" ")
+                if len(own) == len(decoded) == len(line):
+                    self.words.update(zip(line, zip(own, decoded, strict=True), strict=True))
+                    continue
+                ids, at = [*e.ids, self.bell], 0  # a word without ids is among them
+                for w in line:
+                    end = ids.index(self.bell, at)
+                    self.words[w] = self.entry(ids[at:end])
+                    at = end + 1
+
+    def lines(self, words: list[bytes], between: bytes, tokenizer):
+        """Lines of 64 words with their encodings."""
+        lines = [words[i : i + 64] for i in range(0, len(words), 64)]
+        texts = [between.join(x) for x in lines]
+        if tokenizer is self.bare and self.lower:
+            texts = [x.lower() for x in texts]
+        return zip(lines, tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False), strict=True) if lines else ()
+
+    def encode(self, wanted: list[bytes]) -> list[Entry]:
         """Entries of pieces that begin and end at the ends of words."""
         if len(self.words) > REMEMBER:
-            self.words.clear()
-        known, parts = self.words, [p.split() for p in wanted]
-        missing = [w for w in set().union(*parts) if w not in known]
+            self.older, self.words = self.words, {}
+        known, older, parts = self.words, self.older, [p.split() for p in wanted]
+        new = set().union(*parts).difference(known)
+        known.update([(w, older[w]) for w in new if w in older])
+        missing = [w for w in new if w not in known]
         for i in range(0, len(missing), 4096):
             self.learn(missing[i : i + 4096])
         return [joined([known[w] for w in words]) for words in parts]
 
-    def whole(self, text: bytes) -> tuple[int, bytes, bytes]:
+    def whole(self, text: bytes) -> Entry:
         """Entry of a whole text as the library encodes and decodes it."""
         ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-        return len(ids), b" ".join([self.decimals[i] for i in ids]), self.tokenizer.decode(ids, skip_special_tokens=False).encode()
+        return b" ".join([self.decimals[i] for i in ids]), self.tokenizer.decode(ids, skip_special_tokens=False).encode()
 
-    def repair(self, texts: list[list[tuple[bytes, tuple | None]]]) -> list[tuple[int, bytes, bytes]]:
-        """Entries of whole texts from cores (bytes, entry) and joins (bytes, None).
+    def repair(self, texts: list[list[tuple[bytes, Entry | None]]]) -> list[Entry]:
+        """Entries of whole texts from cores (bytes, entry) and joins (bytes, None), which alternate.
 
         A join is encoded anew in a window with the last word of the core before it and the first word of the core
         after it. It agrees with the cores when the window's ids begin with that word's ids as they end the core's
         ids, and end with the other's as they begin the next core's; what lies between is the join's. A window that
         doesn't agree takes twice as many words, up to both cores; if it then still doesn't, the text is encoded whole.
         """
-        none = (0, b"", b"")
-        at = {}  # join with its neighbours -> entry; False if nothing agrees
-        for doc in texts:
-            for k, (p, e) in enumerate(doc):
-                if e is None:
-                    at[doc[k - 1] if k else (b"", none), p, doc[k + 1] if k + 1 < len(doc) else (b"", none)] = False
-        left, n = list(at), 1
+        ends = (b"", NOTHING)
+        beside = [[(doc[k - 1] if k else ends, p, doc[k + 1] if k + 1 < len(doc) else ends) for k, (p, e) in enumerate(doc) if e is None] for doc in texts]
+        made: dict[tuple, Entry | None] = {}
+        left, n = list(dict.fromkeys(x for doc in beside for x in doc)), 1
         while left:
             tries = [(x, *window_edges(x[0][0], x[2][0], n)) for x in left]
             edges = list(dict.fromkeys(e for _, a, b, _ in tries for e in (a, b)))
             entries = dict(zip(edges, self.encode(edges), strict=True))
             windows = list(dict.fromkeys(a + x[1] + b for x, a, b, _ in tries))
-            ids = {}
+            ids: dict[bytes, list[int]] = {}
             for i in range(0, len(windows), 4096):
                 part = windows[i : i + 4096]
                 ids |= zip(part, (e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True)
-            again, made = [], {}
+            left = []
             for x, a, b, last in tries:
-                (before, join, after), key = x, (a, x[1], b)
-                if key not in made:
-                    w, first, end = ids[a + join + b], entries[a], entries[b]
-                    inner = w[first[0] : len(w) - end[0]]
-                    fits = len(w) >= first[0] + end[0] and self.entry(w[: first[0]])[1] == first[1] and self.entry(w[len(w) - end[0] :] if end[0] else [])[1] == end[1]
-                    made[key] = self.entry(inner) if fits else None
-                if made[key] is not None and ends_with(before[1][1], entries[a][1]) and starts_with(after[1][1], entries[b][1]):
-                    at[x] = made[key]
+                (_, before), join, (_, after) = x
+                found = self.between(ids[a + join + b], entries[a][0], entries[b][0])
+                if found is not None and ends_with(before[0], entries[a][0]) and starts_with(after[0], entries[b][0]):
+                    made[x] = found
                 elif not last:
-                    again.append(x)
-            left, n = again, n * 2
+                    left.append(x)
+            n *= 2
         out = []
-        for doc in texts:
-            parts = [e or at[doc[k - 1] if k else (b"", none), p, doc[k + 1] if k + 1 < len(doc) else (b"", none)] for k, (p, e) in enumerate(doc)]
-            out.append(self.whole(b"".join(p for p, _ in doc)) if False in parts else joined(parts))
+        for doc, joins in zip(texts, beside, strict=True):
+            if any(x not in made for x in joins):
+                out.append(self.whole(b"".join(p for p, _ in doc)))
+                continue
+            fixed = iter([made[x] for x in joins])
+            out.append(joined([e or next(fixed) for _, e in doc]))
         return out
 
+    def between(self, ids: list[int], first: bytes, last: bytes) -> Entry | None:
+        """The ids of a window without those it begins and ends with; None if it doesn't begin and end so."""
+        a, b = n_ids(first), n_ids(last)
+        if len(ids) < a + b:
+            return None
+        own = [self.decimals[i] for i in ids]
+        if b" ".join(own[:a]) != first or b" ".join(own[len(ids) - b :]) != last:
+            return None
+        return b" ".join(own[a : len(ids) - b]), b" ".join([self.names[i] for i in ids[a : len(ids) - b]])
+
+
+def n_ids(own: bytes) -> int:
+    return own.count(b" ") + 1 if own else 0
+
 
 def window_edges(left: bytes, right: bytes, n: int) -> tuple[bytes, bytes, bool]:
     """The end of `left` that holds its last n words, the beginning of `right` that holds its first n, and whether that is all."""
@@ -215,9 +274,13 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-    parts = [p for p in parts if p[0]]
-    return sum([p[0] for p in parts]), b" ".join([p[1] for p in parts]), b" ".join([p[2] for p in parts])
+def joined(parts: list[Entry]) -> Entry:
+    if not parts:
+        return NOTHING
+    own, decoded = zip(*parts, strict=True)
+    if b"" in own:  # parts without ids leave no space
+        own, decoded = filter(None, own), filter(None, decoded)
+    return b" ".join(own), b" ".join(decoded)
 
 
 def alternating(doc: list[tuple[bytes, bool]]) -> list[tuple[bytes, bool]]:
@@ -239,7 +302,7 @@ def _key(piece: bytes) -> bytes:
     return hashlib.blake2b(piece, digest_size=16).digest()
 
 
-def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 16.0, ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 12.0, ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids, if asked for).
 
     Equal to the tokenizers library on the whole text, without special tokens added. Documents lie in blocks.
@@ -290,7 +353,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
             to.append(t)
         to = np.concatenate(to)
         kinds = list(dict.fromkeys(keys))
-        made = dict(zip(kinds, (ids_of_text(e[1]) for e in encoder_of(path).encode([by_key[k] for k in kinds])), strict=True))
+        made = dict(zip(kinds, (ids_of_text(e[0]) for e in encoder_of(path).encode([by_key[k] for k in kinds])), strict=True))
         rows = []
         for block in np.unique(to).tolist():
             mine = [keys[i] for i in np.flatnonzero(to == block).tolist()]
@@ -302,7 +365,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     def assemble(pdf, lent):
         if not len(pdf):
             return pd.DataFrame({c: [] for c in columns})
-        given: dict[bytes, tuple] = {}
+        given: dict[bytes, Entry] = {}
         encoder = encoder_of(path)
         for blob in lent["blob"]:
             keys, sizes, flat = unpack(blob)
@@ -314,8 +377,8 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
         rows, texts = [], pdf["text"].tolist()
         size, group = 0, []
 
-        def add(n, own, decoded):
-            row = [n, hashlib.sha256(own).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+        def add(own, decoded):
+            row = [n_ids(own), hashlib.sha256(own).hexdigest(), hashlib.sha256(decoded).hexdigest()]
             rows.append(row + ([ids_of_text(own).tolist()] if ids else []))
 
         def flush():
