@@ -15,7 +15,7 @@ CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 FOR_WORDS = r"(?i)token|secret|passw|passphrase|api.?key|apikey|access.?key|auth|bearer|credential|private"
 AGAINST_WORDS = r"(?i)commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|etag|example|sample|http|www|file|path|version"
 TEST_PATH = r"(?i)test|spec|doc|example|fixture|sample"
-#: The dictionary: letter triples of the commonest words of the corpus; so many words are looked at.
+#: The dictionary: letter triples of the commonest words of the corpus; a parameter says how many words, this is its default.
 DICTIONARY_WORDS = 5000
 
 FEATURES = ("length", "digits", "uppers", "symbols", "to_digit", "from_digit", "case_changes", "kinds", "hexadecimal", "coverage", "longest_letters", "for_word", "against_word", "assigned", "quoted", "test_path")
@@ -39,22 +39,31 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY_WORDS) -> DataFrame:
-    """One row, `triples`: the letter triples of the `most` commonest words of 4 to 12 lower-case letters."""
+    """One row, `triples`: which letter triples the `most` commonest words of 4 to 12 lower-case letters have, as 26 ** 3
+    bytes, so that a look-up costs the same however many there are."""
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![A-Za-z0-9])[a-z]{4,12}(?![A-Za-z0-9])"), F.lit(0))).alias("w"))
     top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    triples = top.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("t"))
-    return triples.agg(F.collect_set("t").alias("triples"))
+    triples = top.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("t")).distinct()
+    every = docs.sparkSession.range(26**3).join(triples.select(_place(F.col("t")).cast("long").alias("id"), F.lit("01").alias("bit")), "id", "left")
+    bits = F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bit", F.lit("00")).alias("bit")))), lambda x: x["bit"])
+    return every.agg(F.unhex(F.array_join(bits, "")).alias("triples"))
+
+
+def _place(triple: Column) -> Column:
+    """Number of a triple of lower-case letters, from 0."""
+    letter = lambda i: F.ascii(F.substring(triple, i, 1)) - 97
+    return letter(1) * 676 + letter(2) * 26 + letter(3)
 
 
 def featured(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds the features; `words` is the one row of `dictionary` (at most 26 ** 3 triples, so it may be broadcast)."""
+    """Adds the features; `words` is the one row of `dictionary` (26 ** 3 bytes, so it may be broadcast)."""
     c, low = F.col("candidate"), F.lower("candidate")
     n = F.length(c)
     count = lambda pattern, x=c: F.regexp_count(x, F.lit(pattern))
     share = lambda x: x / n
     chars = F.split(c, "")
     triples = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    covered = F.size(F.filter(triples, lambda t: F.array_contains(F.col("triples"), t)))
+    covered = F.size(F.filter(triples, lambda t: t.rlike("^[a-z]{3}$") & (F.substring(F.col("triples"), _place(t) + 1, F.lit(1)) == F.lit(b"\x01"))))
     longest = F.array_max(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]*"), F.lit(0)), lambda x: F.length(x)))
     columns = {
         "length": F.least(n, F.lit(256)),
@@ -94,6 +103,24 @@ class Node:
         return F.when(F.col(self.feature) >= self.value, self.right.column()).otherwise(self.left.column())
 
 
+def best_split(table: dict[str, dict[int, tuple[int, int]]], features: list[str], n: int, pos: int) -> tuple[str, int] | None:
+    """The feature and least bin on the right that lower the Gini impurity most; ties go to the first feature, then the
+    lowest bin. `table`: feature -> bin -> (weight, weight of secrets) of a node with weight n, pos of it secrets. None
+    where no split lowers it."""
+    before, found = pos * pos / n + (n - pos) ** 2 / n, None
+    for k in features:
+        left = left_pos = 0
+        for b in range(max(table[k]) + 1):
+            if 0 < left < n:
+                right, right_pos = n - left, pos - left_pos
+                purity = (left_pos**2 + (left - left_pos) ** 2) / left + (right_pos**2 + (right - right_pos) ** 2) / right
+                if purity > before + 1e-9 and (found is None or purity > found[0] + 1e-12):
+                    found = (purity, k, b)
+            w = table[k].get(b, (0, 0))
+            left, left_pos = left + w[0], left_pos + w[1]
+    return found and found[1:]
+
+
 def train_forest(labelled: DataFrame, *, trees: int = TREES, depth: int = DEPTH, bins: int = 16) -> list[Node]:
     """A random forest over featured findings with a boolean `is_secret`.
 
@@ -131,17 +158,9 @@ def train_forest(labelled: DataFrame, *, trees: int = TREES, depth: int = DEPTH,
             nodes[t, node] = Node((pos + 0.5) / (n + 1))
             if level == depth or pos in (0, n) or n < 8:
                 continue
-            best = None
-            for k in (k for i, k in enumerate(FEATURES) if (hash((t, node, i)) * 2654435761 >> 7) % 2):
-                ln = lp = 0
-                for b in range(1, len(edges[k]) + 1):
-                    a = table[k].get(b - 1, (0, 0))
-                    ln, lp = ln + a[0], lp + a[1]
-                    if 0 < ln < n:
-                        drop = lp * lp / ln + (pos - lp) ** 2 / (n - ln) + (ln - lp) ** 2 / ln + (n - ln - pos + lp) ** 2 / (n - ln)
-                        best = max(best or (drop, 0, 0), (drop, -FEATURES.index(k), -b))
-            if best and best[1:] != (0, 0) and best[0] > pos * pos / n + (n - pos) ** 2 / n + 1e-9:
-                splits[t, node] = (FEATURES[-best[1]], -best[2])
+            some = [k for i, k in enumerate(FEATURES) if (hash((t, node, i)) * 2654435761 >> 7) % 2]
+            if best := best_split(table, some, n, pos):
+                splits[t, node] = best
     for (t, node), (k, b) in splits.items():
         if (t, 2 * node) in nodes and (t, 2 * node + 1) in nodes:
             own = nodes[t, node]
@@ -151,13 +170,15 @@ def train_forest(labelled: DataFrame, *, trees: int = TREES, depth: int = DEPTH,
 
 def synthetic_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """`n` labelled findings made from hashes: keys in assignments, and what looks like keys but is none."""
-    r = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"), F.pmod(F.xxhash64("id"), F.lit(12)).alias("kind"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(6)).cast("int").alias("v"))
+    r = spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"), F.pmod(F.xxhash64("id"), F.lit(14)).alias("kind"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(6)).cast("int").alias("v"))
     b64 = F.translate(F.base64(F.unhex(F.substring("h", 1, 96))), "=", "")
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.pmod("v", F.lit(len(xs))) + 1)
     name = pick("token", "api_key", "secret", "password", "auth_token", "access_key")
     syllables = F.array(*[F.lit(x) for x in ("the", "ing", "tion", "er", "an", "schaft", "mente", "eaux", "re", "st", "der", "que", "ion", "lich", "ado", "ent")])
     invented = F.array_join(F.transform(F.sequence(F.lit(1), F.col("v") + 6), lambda i: F.element_at(syllables, F.conv(F.substring(F.col("h"), i, F.lit(1)), 16, 10).cast("int") + 1)), "")
     hex_ = F.substring(F.col("h"), F.lit(1), F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), F.pmod("v", F.lit(3)) + 1))
+    number = F.substring(F.translate(F.col("h"), "abcdef", "314159"), F.lit(1), F.col("v") + 16)
+    groups = F.concat_ws("-", *[F.substring(number, i, 4) for i in (1, 5, 9, 13)])
     uuid = F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12))
     cases = [
         (True, hex_, F.concat(name, F.lit(" =")), '"{}"'), (True, F.upper(hex_), F.concat(F.upper(name), F.lit(" =")), '"{}"'),
@@ -166,6 +187,7 @@ def synthetic_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (False, hex_, pick("commit", "sha256 sum", "checksum:", "md5", "digest", "in revision"), "{}"), (False, uuid, pick("request uuid", "id:", "guid", "with the", "session", "see"), "{}"),
         (False, invented, pick("of the", "with", "and der", "que la", "in", "to"), "{}"), (False, F.concat(F.lit("/usr/share/"), invented), pick("file", "path", "in", "under", "see", "http"), "{}"),
         (False, F.concat_ws("_", pick("my", "the", "some", "test", "get", "set"), invented), F.concat(name, F.lit(" =")), "{}"), (False, F.rpad(F.lit("x"), F.col("v") + 16, "x"), F.concat(name, F.lit(" =")), '"{}"'),
+        (False, number, pick("of the", "card", "number", "und der", "account no", "with"), "{}"), (False, groups, pick("paid by", "card:", "isbn", "the", "call", "no"), "{}"),
     ]
     k = F.col("kind")
     of = lambda i: F.coalesce(*[F.when(k == j, c[i] if i != 3 else F.lit(c[3])) for j, c in enumerate(cases)])

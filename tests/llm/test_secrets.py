@@ -1,5 +1,7 @@
 """Secret scans: candidates against Python's regex, scores against a walk of the trees, held-out findings."""
 
+import os
+import random
 import re
 
 import pytest
@@ -53,3 +55,61 @@ def test_runs_agree(spark, trained):
     words, forest, held = trained
     again = secret_scan.train_forest(held, trees=3), secret_scan.train_forest(held.orderBy(F.desc("candidate")), trees=3)
     assert again[0] == again[1]
+
+
+def test_split_search():
+    """Against the Gini impurity of every split, over single findings."""
+    rng = random.Random(3)
+    names = ["a", "b", "c"]
+    for _ in range(300):
+        rows = [({k: rng.randrange(4) for k in names}, rng.random() < 0.4, rng.randrange(1, 4)) for _ in range(rng.randrange(2, 25))]
+        if rng.random() < 0.3:
+            rows = [(dict.fromkeys(names, 1), y, w) for _, y, w in rows]
+        table = {k: {} for k in names}
+        for x, y, w in rows:
+            for k in names:
+                old = table[k].get(x[k], (0, 0))
+                table[k][x[k]] = (old[0] + w, old[1] + w * y)
+        n, pos = sum(w for _, _, w in rows), sum(w * y for _, y, w in rows)
+
+        def impurity(part):
+            m = sum(w for _, _, w in part)
+            share = sum(w * y for _, y, w in part) / m
+            return m * 2 * share * (1 - share)
+
+        tried = {}
+        for k in names:
+            for b in range(1, 4):
+                right = [r for r in rows if r[0][k] >= b]
+                if right and len(right) < len(rows):
+                    tried[k, b] = impurity(right) + impurity([r for r in rows if r[0][k] < b])
+        got = secret_scan.best_split(table, names, n, pos)
+        least = min(tried.values(), default=None)
+        if least is None or least > impurity(rows) - 1e-9:
+            assert got is None or abs(tried[got] - impurity(rows)) < 1e-6
+        else:
+            assert abs(tried[got] - least) < 1e-9
+
+
+def test_dictionary(spark):
+    texts = [(1, "aaab zzzz Foo barx1 barx barx"), (2, None), (3, "")]
+    row = secret_scan.dictionary(docs_of(spark, texts), most=2).first().triples
+    have = {a + b + c for i, x in enumerate(row) if x for a, b, c in [(chr(97 + i // 676), chr(97 + i // 26 % 26), chr(97 + i % 26))]}
+    assert len(row) == 26**3 and have == {"bar", "arx", "aaa", "aab"}
+
+
+DATA = "/root/testdata/sf0.1/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
+def test_planted_secrets_are_found(spark):
+    """The documents hold assignments of hexadecimal keys: all are found, and little besides."""
+    docs = spark.read.parquet(DATA)
+    words = cut(secret_scan.dictionary(docs))
+    forest = secret_scan.train_forest(secret_scan.featured(secret_scan.synthetic_findings(spark), words))
+    found = secret_scan.scan(docs, forest, words, path_col="source").toPandas()
+    planted = {(i, m) for i, t in docs.select("doc_id", "text").collect() for m in re.findall(r'token = "([0-9a-f]{32,64})"', t or "")}
+    flagged = {(r.doc_id, r.candidate) for r in found[found.is_secret].itertuples()}
+    print(len(planted), len(planted & flagged), len(flagged), len(found))
+    assert len(planted) > 100 and len(planted & flagged) >= 0.98 * len(planted)
+    assert len(flagged - planted) <= 0.05 * len(flagged)
