@@ -16,7 +16,7 @@ LENGTH, ANCHOR = 50, 20
 SIDE = LENGTH - ANCHOR  # bytes that a string can have on either side of an anchor
 WINDOW = SIDE + 1  # anchors positions in a string, and strings around an anchor
 CONTEXT = LENGTH + SIDE
-#: Bits that hold a byte's place when strings choose their anchors; a text under 256 MB has enough.
+#: Bits that hold a byte's place when strings choose their anchors; longer texts are looked at in parts of that length.
 PLACE_BITS = 28
 #: Suffix arrays are built over groups of contexts of about so many bytes.
 ARRAY_BYTES = 120_000
@@ -104,8 +104,24 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Anchors of every 50-byte string that one document holds: position, hash, first and last string it stands for.
 
     The anchor of a string is the first of its least hashed 20-byte strings: equal strings have the same anchor
-    at the same place, whatever surrounds them, and each string has one.
+    at the same place, whatever surrounds them, and each string has one. Where a text is longer than PLACE_BITS can
+    number, the strings of each part of it are looked at with the bytes that they reach beyond it.
     """
+    ends = np.r_[starts[1:], len(data)]
+    inside = np.zeros(len(data) + 1, dtype=np.int32)
+    long = ends - starts >= LENGTH
+    np.add.at(inside, starts[long], 1)
+    np.add.at(inside, ends[long] - LENGTH + 1, -1)
+    whole = np.cumsum(inside)[: len(data)] > 0  # whether a string of one document starts here
+    step = (1 << PLACE_BITS) - LENGTH
+    parts = []
+    for a in range(0, max(1, len(data)), step):
+        at, z, first, last = _anchors(data[a : a + step + LENGTH - 1], whole[a : a + step])
+        parts.append((at + a, z, first + a, last + a))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, dtype=np.int64)
     if len(data) < LENGTH:
         return none, np.zeros(0, dtype=np.uint64), none, none
@@ -120,12 +136,7 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         z = mix(h[: len(data) - ANCHOR + 1] * square + h4[16:])
     place = np.uint64((1 << PLACE_BITS) - 1)
     least = _slide(z & ~place | np.arange(len(z), dtype=np.uint64), WINDOW, np.minimum)  # by the first byte of each string
-    ends = np.r_[starts[1:], len(data)]
-    inside = np.zeros(len(data) + 1, dtype=np.int32)
-    long = ends - starts >= LENGTH
-    np.add.at(inside, starts[long], 1)
-    np.add.at(inside, ends[long] - LENGTH + 1, -1)
-    string = np.flatnonzero(np.cumsum(inside[: len(least)]))
+    string = np.flatnonzero(inside[: len(least)])
     if not len(string):
         return none, np.zeros(0, dtype=np.uint64), none, none
     owner = (least[string] & place).astype(np.int64)
@@ -210,19 +221,48 @@ def _resolve(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(side)
         _, inv = _distinct(np.concatenate([kind_ctx[at, a:b], of_key[some[at]]], axis=1))
         shared[at] |= np.bincount(inv)[inv] > 1 if len(at) else False
-    rows = np.flatnonzero(shared)
-    rows = rows[np.argsort(kind_key[rows], kind="stable")]
-    if len(rows):
-        heads = np.flatnonzero(np.r_[True, kind_key[rows][1:] != kind_key[rows][:-1], True])
-        start = 0
-        for h in heads[1:].tolist():  # whole groups, about ARRAY_BYTES at a time
-            if (h - start) * CONTEXT >= ARRAY_BYTES or h == len(rows):
-                part = rows[start:h]
-                lows[part] = _group_windows(kind_key[part], kind_ctx[part], least[part])
-                start = h
+    _settle(lows, kind_key, kind_ctx, least, np.flatnonzero(shared), 0, SIDE)
     return lows[inverse]
 
 
+def _settle(lows: np.ndarray, key: np.ndarray, ctx: np.ndarray, least: np.ndarray, rows: np.ndarray, low: int, high: int) -> None:
+    """Sets `lows` for the strings at the offsets low..high of the contexts `rows`.
+
+    Contexts that share such a string agree in their anchor, the `low` bytes after it and the last SIDE - `high` before
+    it, so they are put together by those. Groups go to suffix arrays, about ARRAY_BYTES at a time; a larger group, that
+    of a common anchor, is parted by the halves of its offsets, which have more bytes in common, down to one offset,
+    where a group is one string.
+    """
+    rows = rows[(ctx[rows, CONTEXT] <= high) & (ctx[rows, CONTEXT + 1] >= low + LENGTH)]
+    if not len(rows):
+        return
+    of_key = key[rows].astype(">u8").view(np.uint8).reshape(-1, 8)
+    _, group = _distinct(np.concatenate([of_key, ctx[rows, high:SIDE], ctx[rows, SIDE + ANCHOR : SIDE + ANCHOR + low]], axis=1))
+    size = np.bincount(group)
+    several = size[group] > 1
+    rows, group = rows[several], group[several]
+    large = size[group] * CONTEXT > ARRAY_BYTES
+    if large.any():
+        some, of = rows[large], group[large]
+        if low == high:
+            first = np.full(len(size), NO_ID, dtype=np.int64)
+            np.minimum.at(first, of, least[some])
+            lows[some, low] = first[of]
+        else:
+            middle = (low + high) // 2
+            _settle(lows, key, ctx, least, some, low, middle)
+            _settle(lows, key, ctx, least, some, middle + 1, high)
+        rows, group = rows[~large], group[~large]
+    order = np.argsort(group, kind="stable")
+    rows, group = rows[order], group[order]
+    start = 0
+    for end in (np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1).tolist() if len(rows) else []:
+        if (end - start) * CONTEXT >= ARRAY_BYTES or end == len(rows):
+            part = rows[start:end]
+            lows[part, low : high + 1] = _group_windows(key[part], ctx[part], least[part])[:, low : high + 1]
+            start = end
+
+
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last column of each maximal run of true cells."""
     edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)

@@ -139,7 +139,12 @@ def test_ring_links_find_every_link(short, monkeypatch):
     assert len({(root(i), want[i]) for i in range(len(fps))}) == len(set(want)) == len({root(i) for i in range(len(fps))})
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("limits", [{}, {"ARRAY_BYTES": 200}, {"ARRAY_BYTES": 200, "PLACE_BITS": 9}])
+def test_passages(spark, monkeypatch, limits):
+    """Also with common anchors (a shared phrase between unlike words) whose groups are parted, and texts cut in parts."""
+    if limits:  # by the same steps in this process: patches don't reach the workers
+        check_passages_here(monkeypatch, limits)
+        return
     for seed in (3, 4):
         rows = corpus(seed)
         got = suffix_dedup.passage_dedup(docs_of(spark, rows), block_mb=0.004).collect()
@@ -160,6 +165,32 @@ def test_passages(spark):
     assert suffix_dedup.passage_dedup(docs_of(spark, [])).count() == 0
 
 
+def check_passages_here(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(7)
+    common = "this phrase of thirty-five bytes is here"
+    texts = [t or "" for _, t in corpus(5)] + [f"{rng.choice(['ab', 'cd', 'ef'])}{rng.choice('xyz') * 9}{common}{rng.choice('uvw') * 12}{rng.random()}" for _ in range(150)]
+    data = [t.encode() for t in texts]
+    first = {}
+    for i, b in enumerate(data):
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    keys, ctxs, docs, places = [], [], [], []
+    for a, flat, starts, at, z, f, l in suffix_dedup._parts(data):
+        doc = np.searchsorted(starts, at, side="right") - 1
+        keys.append(z), ctxs.append(suffix_dedup._contexts(flat, at, f, l)), docs.append(a + doc), places.append(at - starts[doc])
+    keys, ctxs, docs, places = map(np.concatenate, (keys, ctxs, docs, places))
+    lows = suffix_dedup._resolve(keys, ctxs, docs.astype(np.int64))
+    seen = set()
+    for r in range(len(keys)):
+        for o in range(int(ctxs[r, suffix_dedup.CONTEXT]), int(ctxs[r, suffix_dedup.CONTEXT + 1]) - 49):
+            start = int(places[r]) - suffix_dedup.SIDE + o
+            seen.add((int(docs[r]), start))
+            assert lows[r, o] == first[data[docs[r]][start : start + 50]]
+    assert seen == {(i, k) for i, b in enumerate(data) for k in range(len(b) - 49)}
+
+
 def test_suffix_array():
     rng = random.Random(5)
     for _ in range(1500):
