@@ -52,20 +52,19 @@ def _argument_problems(arguments: Column, fields: Column) -> Column:
 def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls in the conversations that `edges` belong to; level -1 lies on or after a cycle.
 
-    Takes away, round after round, the calls that wait for nothing. Every round removes calls or ends.
+    Round after round, the calls without a level that wait for none without a level get the next one. Each round is
+    written once; it gives levels to some calls or is the last.
     """
-    left, waits, done, level = cut(nodes), cut(edges), None, 0
+    waits, level = cut(edges), 0
+    state = cut(nodes.withColumn("level", F.lit(None).cast("int")))
     while True:
-        blocked = waits.select("conv_id", "call_id").distinct()
-        ready = cut(left.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        if not ready.take(1):
-            break
-        done = ready if done is None else done.union(ready)
-        left = cut(left.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
-        waits = cut(waits.join(ready.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti"))
+        open_ = state.where("level IS NULL").select("conv_id", F.col("call_id").alias("needs"))
+        blocked = waits.join(open_, ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct().withColumn("blocked", F.lit(True))
+        ready = F.col("level").isNull() & F.col("blocked").isNull()
+        state = cut(state.join(blocked, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(ready, F.lit(level)).otherwise(F.col("level")).alias("level")))
+        if not state.where(F.col("level") == level).take(1):
+            return state.withColumn("level", F.coalesce("level", F.lit(-1)))
         level += 1
-    stuck = left.withColumn("level", F.lit(-1))
-    return stuck if done is None else done.union(stuck)
 
 
 def _placed(rows: DataFrame, *last: str) -> DataFrame:
@@ -110,7 +109,7 @@ def _linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFra
     alone = lambda t: F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), F.xxhash64("turn", t))  # noqa: E731  (these link with nothing: no group)
     nth = lambda t: F.row_number().over(Window.partitionBy("conv_id", "call_id", alone(t)).orderBy(F.asc_nulls_first("turn"), t))
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
-    c = c.withColumn("k", nth(F.xxhash64("name", "arguments")))
+    c = cut(c.withColumn("k", nth(F.xxhash64("name", "arguments"))))  # read by the join and by the needs
     r = results.select("conv_id", F.col("turn").alias("result_turn"), "call_id", "content")
     r = r.withColumnRenamed("result_turn", "turn").withColumn("k", nth(F.xxhash64("content"))).withColumnRenamed("turn", "result_turn").withColumn("answered", F.lit(True))
     linked = c.withColumn("called", F.lit(True)).join(r.hint("shuffle_hash"), ["conv_id", "call_id", "k"], "full_outer").join(schemas.select("name", "fields"), "name", "left")
