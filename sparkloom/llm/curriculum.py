@@ -72,12 +72,12 @@ def curriculum(docs: DataFrame, knots_of, *, id_col: str = "doc_id", source_col:
     Offsets within a source come from sums of 65,536 hash ranges and a window within each range, so a
     source with a third of all rows spreads over all tasks. Null text and text without words have size 0:
     they are taken with the passes but add nothing. Null source is a source of its own, null ids hash as an
-    empty id; rows that repeat an id are documents of their own. An empty table gives no rows.
+    empty id; rows that repeat an id are documents of their own, of equal size by the hash of their texts. An empty table gives no rows.
     `carry` keeps the input row as struct `row`.
     """
     kept = [F.struct(*docs.columns).alias("row")] if carry else []
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *kept)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("tie"), *kept)
     rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("unnamed", F.col("source").isNull()).withColumn("span", F.substring("key", 1, RANGE_DIGITS))
     sums = rows.groupBy("unnamed", "name", "span").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     per_source = sums.groupBy("unnamed", "name").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs"))
@@ -90,7 +90,7 @@ def curriculum(docs: DataFrame, knots_of, *, id_col: str = "doc_id", source_col:
     parts = parts.select("unnamed", "name", "part", up_to(["unnamed", "name"], "part").alias("ahead"))
     spans = sums.withColumn("inside", up_to(["unnamed", "name", "part"], "span")).join(parts, ["unnamed", "name", "part"])
     spans = spans.select("unnamed", "name", "span", (F.col("ahead") + F.col("inside")).alias("before")).join(targets, ["unnamed", "name"])
-    within = Window.partitionBy("unnamed", "name", "span").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("unnamed", "name", "span").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(spans, ["unnamed", "name", "span"]).withColumn("offset", F.col("before") + F.sum("size").over(within) - F.col("size"))
     middle = lambda k: k * F.col("source_size") + F.col("offset") + F.col("size") / F.lit(2.0)
     passes = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda k: middle(k))
