@@ -32,7 +32,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_mb: float) -> t
     n = blocks_for(docs, text_col, block_mb)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc_id = F.col(id_col).cast("long")
-    block = F.pmod(F.xxhash64(doc_id, F.octet_length(text)), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64(doc_id, F.octet_length(text), F.when(doc_id.isNull(), F.xxhash64(text))), F.lit(n)).cast("int")
     return docs.select(block.alias("block"), doc_id.alias("doc_id"), text.cast("binary").alias("text")), n
 
 
@@ -42,7 +42,7 @@ def ids_of(pdf) -> tuple[np.ndarray, np.ndarray]:
     return pdf["doc_id"].fillna(NO_ID).astype("int64").to_numpy() if not null.any() else np.array([NO_ID if b else int(v) for v, b in zip(pdf["doc_id"], null, strict=True)], dtype=np.int64), null
 
 
-def chunks(texts: list[bytes], most: int = 2_000_000):
+def chunks(texts: list[bytes], most: int = 1_000_000):
     """Ranges of documents of about `most` bytes."""
     start = size = 0
     for i, t in enumerate(texts):

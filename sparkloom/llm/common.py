@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import logging
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.storage import cut, ensure_checkpoint_dir, fresh  # noqa: F401
+
 #: Java/RE2/Python pattern of one word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,49 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(df: DataFrame, *stems: str) -> list[str]:
-    """Column names that `df` doesn't have, whatever the case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in stems:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def hashable(df: DataFrame) -> list[Column]:
     """The columns of `df` that a hash can read (maps and variants can't be hashed)."""
     return [F.col(f"`{f.name}`") for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the session. Only a local master, where all tasks share this machine's disk, may do without one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
-            logging.getLogger(__name__).info("spark.checkpoint.dir is unset: checkpoints go to %s", folder)
-        context.setCheckpointDir(folder)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def blocks_for(df: DataFrame, text_col: str = "text", block_mb: float = 16.0) -> int:
-    """How many blocks of about `block_mb` MB of text `df` makes: memory per task stays the same at any input size."""
+    """How many blocks of about `block_mb` MB of text `df` makes: memory per task stays the same at any input size.
+
+    Input that makes few of them is cut into up to 16 smaller ones, so that more tasks have work.
+    """
     chars = df.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).alias("n")).first()["n"] or 0
-    return max(4, int(chars / (block_mb * 1e6)) + 1)
+    return max(4, min(16, int(chars / 2e6)), int(chars / (block_mb * 1e6)) + 1)
 
 
 def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 16) -> DataFrame:

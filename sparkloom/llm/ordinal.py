@@ -13,6 +13,8 @@ from sparkloom.llm.blocks import chunks, word_spans
 from sparkloom.llm.common import fresh
 
 BITS = 20
+#: Bytes of text at a time: the arrays of a chunk take some seventy times its size.
+CHUNK = 500_000
 #: Lengths in bytes of the word beginnings that are features beside the words.
 STEMS = (4, 5)
 #: Surface measures enter as one of so many bins each.
@@ -36,7 +38,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Words, lower-cased over A-Z, the first 4 and 5 bytes of longer words (inflected forms share them), and the bins of ten surface measures share one space of 2 ** BITS indexes.
     """
     flat, sizes = [], []
-    for a, b in chunks(texts):
+    for a, b in chunks(texts, CHUNK):
         data = np.frombuffer(b" ".join(texts[a:b]) + b" ", dtype=np.uint8)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts[a:b])])[:-1]
         first, last, h, *stems = word_spans(_FOLD[data], _BETWEEN, STEMS)

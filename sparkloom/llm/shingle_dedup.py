@@ -128,7 +128,7 @@ def near_copies(docs: DataFrame, *, text_col: str = "text", shingle: int = SHING
                 sets += [np.unique(h[p:q]).view(np.int64) for p, q in zip(bounds, bounds[1:], strict=False)]
             offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
             flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["cluster", "node", "known", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(offsets, pa.array(flat)), b.column(4), b.column(5)], names=["cluster", "node", "known", "shingles", "n", "salts"])
 
     known = cut(simhash.components_of_texts(docs, text_col).where("node != component").select("node", F.col("component").alias("known")))
     flat = cut(keyed.mapInArrow(sign, "node long, bands array<long>")).select("node", F.explode("bands").alias("band"))
@@ -139,30 +139,31 @@ def near_copies(docs: DataFrame, *, text_col: str = "text", shingle: int = SHING
     texts = cut(texts.select(F.col("component").alias("cluster"), "node", "known", "text"))
     sizes = texts.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     sizes = cut(sizes.withColumn("large", (F.col("n") > task_rows) | (F.col("bytes") > task_bytes)).withColumn("salts", F.greatest(F.ceil(F.col("n") / task_rows), F.ceil(F.col("bytes") / task_bytes)).cast("int")))
-    out = texts.join(sizes.where("NOT large").select("cluster"), "cluster", "left_semi").groupBy("cluster").applyInPandas(decide, "node long, component long")
-    large = sizes.where("large").select("cluster", "n", "salts")
-    if large.take(1):
-        rows = texts.join(large.select("cluster"), "cluster", "left_semi")
-        out = out.unionByName(_pivoted(cut(rows.mapInArrow(shingle_sets, "cluster long, node long, known long, shingles array<long>")), large, least))
+    sized = salted_join(texts, sizes.drop("bytes"), "cluster", "node")
+    out = sized.where("NOT large").groupBy("cluster").applyInPandas(decide, "node long, component long")
+    if sizes.where("large").take(1):
+        sets = sized.where("large").select("cluster", "node", "known", "text", "n", "salts").mapInArrow(shingle_sets, "cluster long, node long, known long, shingles array<long>, n long, salts int")
+        out = out.unionByName(_pivoted(cut(sets), least))
     return cut(out)
 
 
-def _pivoted(sets: DataFrame, clusters: DataFrame, least: float) -> DataFrame:
+def _pivoted(sets: DataFrame, least: float) -> DataFrame:
     """(node, component) of the texts in large clusters, by rounds of pivots; exact, and no task holds a cluster.
 
-    `sets`: cluster, node, known, shingles (distinct); `clusters`: cluster, n, salts. A round takes the next part of
-    a cluster's texts, in the order of a hash, as pivots, first 64, then 8 times more each round, and compares each
+    `sets`: cluster, node, known, shingles (distinct), n and salts of the cluster. A round takes the next part of a
+    cluster's texts, in the order of a hash, as pivots, first 64, then 8 times more each round, and compares each
     with every text of the cluster that isn't yet in its component. After the first round a cluster's largest
     component is its giant, and texts that lie in the giant are no pivots any more: of two texts that end in
     different components, one was never in the giant, so it has been a pivot and both were compared. A group of
     near copies joins its giant early; what is left to compare grows with the texts outside of it.
     """
     labels = cut(sets.select("cluster", "node", F.col("known").alias("label")))
-    spot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))  # in [0, 1): a text's place in the order
-    most = clusters.agg(F.max("n").alias("n")).first()["n"]
+    spot = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")  # a text's place in the order
+    sets = sets.withColumn("spot", spot)
+    most = sets.agg(F.max("n").alias("n")).first()["n"]
     done, width, giants = 0.0, 64.0, None
     while done < most:
-        now = sets.drop("known").join(labels, ["cluster", "node"]).join(clusters, "cluster").withColumn("spot", spot * F.col("n"))
+        now = sets.join(labels, ["cluster", "node"])
         pivots = now.where((F.col("spot") >= done) & (F.col("spot") < done + width))
         if giants is not None:
             pivots = pivots.join(labels.join(giants, ["cluster", "node"]).select("cluster", F.col("label").alias("giant")), "cluster").where("label != giant")
