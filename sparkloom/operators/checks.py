@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.units import family
 from sparkloom.operators.relational import difference_both_ways, out_of_order, representative
 
 CHECKS: dict[str, Callable[[Layers], DataFrame]] = {}
@@ -377,10 +378,11 @@ def unit_value_plausible(x):
 
 @check
 def unit_homogeneous_per_code(x):
-    """The second commonest unit of a code has at most one in a hundred of its rows."""
+    """The second commonest unit family of a code has at most one in a hundred of its rows."""
     g = x.events.where("unit IS NOT NULL").groupBy("code", "unit").agg(F.count("*").alias("n"))
-    most = g.groupBy("code").agg(F.sum("n").alias("all"), F.max("n").alias("top"))
-    return _none(most.where((F.col("all") - F.col("top")) / F.col("all") > MAX_SECOND_FAMILY))
+    g = g.groupBy("code", family(F.col("unit")).alias("family")).agg(F.sum("n").alias("n"))
+    counts = g.groupBy("code").agg(F.sum("n").alias("all"), F.sort_array(F.collect_list("n"), asc=False).alias("falling"))  # one number a family
+    return _none(counts.where(F.coalesce(F.get("falling", F.lit(1)), F.lit(0)) / F.col("all") > MAX_SECOND_FAMILY))
 
 
 @check

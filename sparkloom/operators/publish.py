@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.hashing import split_name
 from sparkloom.functions.text import normalize_term
 from sparkloom.functions.values import parse_value
-from sparkloom.operators.relational import representative
+from sparkloom.operators.relational import representative, surrogate_keys
 
 #: Kinds of the star's fact tables and the vocabulary domain that each of them holds.
 ROUTES = {
@@ -178,9 +178,15 @@ def subject_splits(subjects: DataFrame, weights: Sequence[tuple[str, float]] = (
 
 
 def subject_shards(splits: DataFrame, per_shard: int) -> DataFrame:
-    """Shard number of each subject: so many whole subjects per shard and split, in the order of their numbers."""
-    n = F.row_number().over(Window.partitionBy("split").orderBy("subject_id"))
-    return splits.withColumn("shard", F.floor((n - 1) / per_shard).cast("int"))
+    """Shard number of each subject: so many whole subjects per shard and split, in the order of their numbers.
+
+    Subjects are numbered over all splits by ranges; a split's first number, of which there are as many as splits,
+    gives the number within it.
+    """
+    numbered = surrogate_keys(splits, ["split", "subject_id"], "nth")
+    first = numbered.groupBy("split").agg(F.min("nth").alias("first"))
+    shard = F.floor((F.col("nth") - F.col("first")) / per_shard).cast("int")
+    return numbered.join(F.broadcast(first), "split").select(*splits.columns, shard.alias("shard"))
 
 
 def write_stream(stream: DataFrame, shards: DataFrame, path: str) -> None:
