@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.hashing import canonical_cell, canonical_row
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """60 bits of the SHA-256 of a row's canonical cells, columns by name; nested cells count as their JSON."""
+    def cell(f) -> Column:
+        try:
+            return canonical_cell(F.col(f"`{f.name}`"), f.dataType)
+        except TypeError:
+            return F.coalesce(F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))), F.lit(""))
+
+    row = canonical_row([cell(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+    return F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+
 
 def content_digest(df: DataFrame) -> DataFrame:
-    """One row: rows, and the exact sum of their 64-bit hashes as text."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
+    """One row: rows, and the exact sum of their hashes as text."""
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(_row_hash(df)), F.lit(0)).cast("string").alias("digest"))
 
 
 def file_digests(df: DataFrame, root: str) -> DataFrame:
     """Rows and digest per file, by its path below `root`, of a DataFrame that reads files."""
     name = F.regexp_replace("_metadata.file_path", f"^.*\\Q{root.rstrip('/')}/\\E", "")
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.withColumn("__h", h).groupBy(name.alias("file")).agg(F.count("*").alias("n_rows"), F.sum("__h").cast("string").alias("digest"))
+    return df.select(name.alias("file"), _row_hash(df).alias("h")).groupBy("file").agg(F.count("*").alias("n_rows"), F.sum("h").cast("string").alias("digest"))
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:

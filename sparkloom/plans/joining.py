@@ -116,11 +116,23 @@ def note_repeat_share(t):
     return g.groupBy("source").agg(F.sum("n").alias("notes"), F.sum(F.col("n") - 1).alias("surplus"), (F.sum(F.col("n") - 1) / F.sum("n")).alias("share"))
 
 
-@query()
+def _digest_sql(table: str, rows: str, **columns: str) -> str:
+    """Rows and digest of a table's columns in DuckDB; a column's letter is its kind: whole, real, text or time."""
+    form = {"w": "{0}::VARCHAR", "r": "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE {0}::VARCHAR END", "s": "trim({0})", "t": "strftime({0}, '%Y-%m-%dT%H:%M:%S')"}
+    cells = " || chr(31) || ".join(f"coalesce({form[kind].format(c)}, '')" for c, kind in sorted(columns.items()))
+    return f"SELECT {rows}, sum(('0x' || substr(sha256({cells}), 1, 15))::BIGINT)::VARCHAR AS digest FROM {table}"
+
+
+@query(_digest_sql("lineitem", "count(*) AS n_rows", l_orderkey="w", l_partkey="w", l_suppkey="w", l_linenumber="w", l_quantity="r", l_extendedprice="r", l_discount="r", l_tax="r", l_returnflag="s", l_linestatus="s", l_shipdate="t"))
 def content_digest(t):
     return digest.content_digest(t.lineitem)
 
 
+@query(_digest_sql("customer", "'customer.parquet' AS file, count(*) AS n_rows", c_custkey="w", c_name="s", c_nationkey="w", c_acctbal="r", c_mktsegment="s"))
+def file_digests(t):
+    return digest.file_digests(t.customer, t._folder)
+
+
 @query("""WITH d AS (SELECT unnest(['a', 'b', 'c']) AS name), b AS (SELECT 'a' AS name, '1' AS digest UNION ALL SELECT 'b', '2'), a AS (SELECT 'b' AS name, '3' AS digest UNION ALL SELECT 'c', '4')
 SELECT coalesce(b.name, a.name) AS name, b.digest AS was, a.digest AS now FROM b FULL JOIN a ON a.name = b.name WHERE b.digest IS DISTINCT FROM a.digest""")
 def artifact_diff(t):
