@@ -7,9 +7,11 @@ about 16 MB of text whatever the input's size, buckets are as many as blocks.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,15 @@ from sparkloom.llm.common import blocks_for
 NO_ID = np.iinfo(np.int64).max
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process outlives its task and would keep it from the other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pack(*arrays) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
 

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.blocks import SPACES, chunks, in_blocks, mix, pack, unpack
+from sparkloom.llm.blocks import SPACES, chunks, give_back, in_blocks, mix, pack, unpack
 
 #: A chunk ends where the rolling hash of 16 bytes has so many zero bits: every 1024 bytes on average.
 CUT_BITS, REACH = 10, 16
@@ -20,7 +20,7 @@ CUT_BITS, REACH = 10, 16
 Entry = tuple[bytes, bytes]
 NOTHING: Entry = (b"", b"")
 #: When a worker remembers so many words, it goes on with those it meets again; the others are forgotten the next time.
-REMEMBER = 250_000
+REMEMBER = 200_000
 
 
 def tokenizer(path: str):
@@ -271,7 +271,9 @@ def ends_with(ids: bytes, part: bytes) -> bool:
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
     """One encoder per worker process: its words serve block after block."""
-    return Encoder(path)
+    encoder = Encoder(path)
+    give_back()
+    return encoder
 
 
 def joined(parts: list[Entry]) -> Entry:
@@ -396,10 +398,12 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
         for doc in pieces(texts):
             group.append(alternating(doc))
             size += sum(len(p) for p, _ in doc)
-            if size > 1_000_000:
+            if size > 500_000:
                 flush()
                 size = 0
         flush()
+        given.clear()
+        give_back()
         out = pd.DataFrame(rows, columns=columns[1:])
         out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
         return out

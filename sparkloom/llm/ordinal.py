@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.blocks import chunks, word_spans
+from sparkloom.llm.blocks import chunks, give_back, word_spans
 from sparkloom.llm.common import fresh
 
 BITS = 20
@@ -204,6 +204,7 @@ def _probabilities(model: OrdinalModel | None, text: Column) -> Column:
         if model is None:
             return pd.DataFrame({"expected_grade": np.full(len(texts), np.nan), "p_tail": np.ones(len(texts))})
         tails = model.tails(model.scores(texts.tolist()))
+        give_back()
         return pd.DataFrame({"expected_grade": tails.sum(axis=1), "p_tail": tails[:, -1]})
 
     return score(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))

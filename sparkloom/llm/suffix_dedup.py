@@ -28,7 +28,8 @@ def suffix_array(text: list[int]) -> list[int]:
     Phase 1 starts with a group per first symbol and takes the groups from the greatest down. Each member's
     pointer goes to the nearest earlier suffix of a smaller group; that suffix is then known to be followed by
     the group's prefix as often as pointers meet there, and moves to a new group right above its old one,
-    higher for more repeats. Phase 2 runs up the array: whenever a suffix is placed, the suffixes before it
+    higher for more repeats. For members in ascending order the suffixes pointed to never go back, so groups stay in
+    ascending order without a sort; only the kinds of move (repeats, old group) of one step are sorted. Phase 2 runs up the array: whenever a suffix is placed, the suffixes before it
     along the pointers have it as their next smaller one, so each takes the next free place of its group.
     """
     n = len(text)
@@ -42,7 +43,7 @@ def suffix_array(text: list[int]) -> list[int]:
     final, previous = bytearray(n), [-1] * n
     current = len(ranks) - 1
     while current >= 0:
-        mine = sorted(i for i in members[current] if group[i] == current)
+        mine = [i for i in members[current] if group[i] == current]  # in ascending order: see below
         members[current] = mine
         for i in mine:
             final[i] = 1
