@@ -166,6 +166,34 @@ def stream_rows(events: DataFrame, terms: DataFrame, links: DataFrame) -> DataFr
     return out.select("subject_id", F.col("event_time").alias("time"), event_code(F.col("kind"), F.col("concept_id"), F.col("code_system"), F.col("code")).alias("code"), F.col("value_number").cast("float").alias("numeric_value"), "available_time", "event_id", flags.alias("quality_flags"), "source_row_ids")
 
 
+#: Columns of the whole stream beside the coded ones: name, column of the events, type; what the events lack is null.
+STREAM = (
+    ("text_value", "value_text", "string"), ("event_id", "event_id", "string"), ("encounter_id", "encounter_id", "string"), ("end_time", "end_time", "timestamp_ntz"), ("source_table", "source_id", "string"),
+    ("source_code", "code", "string"), ("unit", "unit", "string"), ("event_kind", "kind", "string"), ("dose", "dose", "string"), ("route", "route", "string"), ("status", "status", "string"),
+    ("caused_by_event_id", "cause_id", "string"), ("value_number_normalized", "value_normalized", "double"), ("unit_normalized", "unit_normalized", "string"), ("rate_source", "rate_source", "string"), ("rate", "rate", "double"),
+    ("rate_unit", "rate_unit", "string"), ("action", "action", "string"), ("discharged_to", "discharged_to", "string"),
+)
+
+
+def whole_stream(events: DataFrame, terms: DataFrame, links: DataFrame, death: str = "MEDS_DEATH") -> DataFrame:
+    """The event stream with all its 27 columns; `write_stream` puts it in order.
+
+    A fact has one code: the reserved one of a death, the mapped concept, else the source's term under its name. An
+    event without a known availability was available when it happened, which a flag says. `terms` has one row per term.
+    """
+    rows = links.groupBy("event_id").agg(F.array_sort(F.collect_list("source_row_id")).alias("source_row_ids"))
+    e = events.join(terms.select("code_system", "code", "concept_id"), ["code_system", "code"], "left").join(rows, "event_id", "left")
+    own = F.concat_ws("/", F.lit("SOURCE"), F.coalesce("source_id", F.lit("unknown")), F.coalesce(F.nullif(normalize_term(F.col("code")), F.lit("")), F.lit("unspecified")))
+    code = F.when(F.col("kind") == "death", death).when(F.col("concept_id").isNotNull(), F.concat(F.lit("OMOP/"), F.col("concept_id").cast("string"))).otherwise(own)
+    none = F.array().cast("array<string>")
+    assumed = F.when(F.col("available_time").isNull() & F.col("event_time").isNotNull(), F.array(F.lit("AVAILABILITY_ASSUMED"))).otherwise(none)
+    others = [(F.col(c) if c in events.columns else F.lit(None)).cast(kind).alias(name) for name, c, kind in STREAM]
+    return e.select(
+        "subject_id", F.col("event_time").alias("time"), code.alias("code"), F.col("value_number").cast("float").alias("numeric_value"), F.coalesce("available_time", "event_time").alias("available_time"),
+        F.coalesce("source_row_ids", none).alias("source_row_ids"), F.col("concept_id").cast("bigint").alias("omop_concept_id"), F.array_sort(F.array_union(F.coalesce("quality_flags", none), assumed)).alias("quality_flags"), *others,
+    )
+
+
 def code_metadata(stream: DataFrame, names: DataFrame) -> DataFrame:
     """Per code in use: rows, and its commonest source name. `names`: event_id, name."""
     used = stream.groupBy("code").agg(F.count("*").alias("n_events"))

@@ -62,6 +62,22 @@ def resolve_terms(terms: DataFrame, registry: DataFrame, concepts: DataFrame, re
     return t.join(done, ["code_system", "code"], "left")
 
 
+def resolve_drugs(terms: DataFrame, resolved: DataFrame, index, local_noise=(), truncated_at: int | None = None) -> DataFrame:
+    """The last pass of `resolve_terms`: drug terms that are still without a concept, by what their names say.
+
+    `terms`: code_system, code, name, domain (expected); `resolved`: what `resolve_terms` returned; `index`: a
+    `drugs.DrugIndex`. A name that fits exactly one product resolves to it, and the path says by which reading.
+    """
+    from sparkloom.operators.drugs import match_drugs
+
+    left = resolved.where("concept_id IS NULL").join(terms.where("domain = 'Drug'").select("code_system", "code", "name"), ["code_system", "code"])
+    found = match_drugs(left, index, "name", local_noise, truncated_at).where("status = 'unique'").select("name", F.col("concept_id").alias("drug_id"), F.concat(F.lit("structured_drug_"), "route").alias("drug_path"))
+    hits = left.join(found, "name").select("code_system", "code", "drug_id", "drug_path")
+    out = resolved.join(hits, ["code_system", "code"], "left")
+    domain = F.when(F.col("drug_id").isNotNull(), "Drug").otherwise(F.col("domain_id"))
+    return out.select("code_system", "code", F.coalesce("concept_id", "drug_id").alias("concept_id"), domain.alias("domain_id"), F.coalesce("path", "drug_path").alias("path"))
+
+
 def confirm(concepts: DataFrame) -> DataFrame:
     return concepts.where("standard_concept = 'S' AND valid")
 

@@ -226,3 +226,14 @@ CASE WHEN k = 0 AND n = 1 THEN drug WHEN k = 5 THEN ingredient END AS concept_id
 FROM names LEFT JOIN d USING (head, p_size) LEFT JOIN i USING (head)""")
 def drug_match(t):
     return drugs.match_drugs(_drug_names(t), drugs.drug_index(*_drug_vocabulary(t)))
+
+
+@query(f"""WITH {_NAMES_SQL}, d AS (SELECT upper(p_name) AS head, p_size, min(p_partkey) + 10000000 AS drug, count(*) AS n FROM part WHERE p_partkey % 6 = 0 GROUP BY 1, 2), i AS (SELECT upper(p_name) AS head, min(p_partkey) + 1000 AS ingredient FROM part GROUP BY 1)
+SELECT DISTINCT 'SOURCE' AS code_system, name AS code, CASE WHEN k = 0 AND n = 1 THEN drug WHEN k = 5 THEN ingredient END AS concept_id, CASE WHEN (k = 0 AND n = 1) OR k = 5 THEN 'Drug' END AS domain_id, CASE WHEN k = 0 AND n = 1 THEN 'structured_drug_as_written' WHEN k = 5 THEN 'structured_drug_ingredient' END AS path
+FROM names LEFT JOIN d USING (head, p_size) LEFT JOIN i USING (head)""")
+def term_resolution_drugs(t):
+    c, r, d = _drug_vocabulary(t)
+    names = _drug_names(t).distinct().select(F.lit("SOURCE").alias("code_system"), F.col("name").alias("code"), "name", F.lit("Drug").alias("domain"))
+    registry = t.spark.createDataFrame([], "code_system string, term_key string, concept_id long")
+    resolved = terminology.resolve_terms(names, registry, c.withColumn("valid", F.lit(True)), r)
+    return terminology.resolve_drugs(names, resolved, drugs.drug_index(c, r, d))

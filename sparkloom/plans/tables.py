@@ -114,3 +114,18 @@ def star_death(t):
     rows, conflicts = star.death_rows(e, persons, 9, zone="Etc/GMT+5")
     published = rows.select(F.lit("published").alias("outcome"), F.col("person_id").alias("subject_id"), "death_date", "death_datetime", "event_id")
     return published.unionByName(conflicts.select(F.lit("conflict").alias("outcome"), "subject_id", "event_id"), allowMissingColumns=True)
+
+
+@query(_EV_SQL + """SELECT person_id AS subject_id, moment + INTERVAL 5 HOUR AS time, CASE WHEN concept_id > 0 THEN 'OMOP/' || concept_id ELSE 'SOURCE/' || kind || '/' || code END AS code, q::FLOAT AS numeric_value, moment + INTERVAL 5 HOUR + CASE WHEN n = 2 THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END AS available_time,
+'r' || event_id AS source_row_ids, CASE WHEN concept_id > 0 THEN concept_id END::BIGINT AS omop_concept_id, CASE WHEN n = 2 THEN 'AVAILABILITY_ASSUMED' ELSE '' END AS quality_flags, CASE WHEN n = 3 THEN 'as told' END AS text_value, event_id, encounter_id, till + INTERVAL 5 HOUR AS end_time, kind AS source_table, code AS source_code, unit,
+kind AS event_kind, CASE WHEN n % 3 = 0 THEN 'odd dose' ELSE floor(q)::INT || ' mg' END AS dose, NULL::VARCHAR AS route, status, NULL::VARCHAR AS caused_by_event_id, NULL::DOUBLE AS value_number_normalized, NULL::VARCHAR AS unit_normalized, NULL::VARCHAR AS rate_source, CASE WHEN n = 1 THEN d END AS rate,
+CASE WHEN n = 1 THEN 'mL/h' END AS rate_unit, NULL::VARCHAR AS action, status AS discharged_to FROM routed""")
+def event_stream_whole(t):
+    k = F.regexp_extract("code", r"(\d+)", 1).cast("bigint") % 7
+    concept = F.when(k == 1, 4000 + F.col("n")).when((k == 2) & (F.col("n") % 2 == 0), 5001).when(k == 4, 5002)
+    e = _events(t).where("subject_id % 10 <> 0").withColumns({"code_system": F.concat(F.lit("P"), F.col("n").cast("string")), "source_id": F.col("kind")})
+    e = e.withColumn("available_time", F.when(F.col("n") != 2, F.col("event_time") + F.make_dt_interval(F.lit(0), F.lit(1))))
+    terms = e.select("code_system", "code", "n").distinct().select("code_system", "code", concept.alias("concept_id")).where("concept_id IS NOT NULL")
+    links = e.select("event_id", F.concat(F.lit("r"), "event_id").alias("source_row_id"))
+    out = publish.whole_stream(e, terms, links)
+    return out.withColumns({"source_row_ids": F.array_join("source_row_ids", ","), "quality_flags": F.array_join("quality_flags", ",")})
