@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from sparkloom.sources import files
 
 
 def _folder(t: Tables, name: str) -> str:
+    """A folder of its own for each call: frames read it later, when another call may have written."""
     ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext.getCheckpointDir()}/files/{name}"
+    return f"{t.spark.sparkContext.getCheckpointDir()}/files/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _one_file(t: Tables, lines: DataFrame, header: str, name: str) -> str:
