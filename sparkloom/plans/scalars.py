@@ -197,7 +197,7 @@ def unit_convert_range(t):
     out = units.normalize_units(
         rows,
         s.createDataFrame([("DEGF", "[degF]"), ("cel", "Cel"), ("none", None)], "spelling string, ucum string"),
-        s.createDataFrame([("[degF]", "Cel", "0.555555556", "-17.777777778")], "from_ucum string, to_ucum string, factor string, offset string"),
+        s.createDataFrame([("[degF]", "Cel", "5/9", "-17.777777778")], "from_ucum string, to_ucum string, factor string, offset string"),
         s.createDataFrame([("EV", "error", "Cel", 0.0, 50.0)], "code_system string, code string, ucum string, low double, high double"),
         declared=s.createDataFrame([("view", "Cel")], "code string, unit string"),
     )

@@ -215,3 +215,12 @@ def test_common_words_find_candidates_too(spark):
     q = spark.createDataFrame([("a", "common w3"), ("b", "common"), ("c", "none of them")], "query_id string, text string")
     got = terminology.lexical_candidates(q, c, 2, common=5).collect()
     assert sorted((r.query_id, r.concept_id, r.hits) for r in got) == [("a", 3, 2), ("b", 0, 1), ("b", 1, 1)]
+
+
+def test_conversion_at_the_ends_of_a_range(spark, tmp_path):
+    from sparkloom.plans.catalogue import QUERIES
+
+    # 32 degF is a hair below 0 Cel by the offset's last digit, 122 degF a hair below 50: as in the query's SQL
+    spark.createDataFrame([(4, "error", 32.0), (8, "error", 122.0), (12, "error", 122.01), (16, "view", 32.0)], "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["unit_convert_range"](spark, str(tmp_path)).collect()
+    assert sorted((r.event_id, r.value_normalized, r.flags) for r in got) == [(4, None, "IMPLAUSIBLE"), (8, 50.0, ""), (12, None, "IMPLAUSIBLE"), (16, 0.0, "")]
