@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder of the session. Only a local master, where all tasks share this machine's disk, may do without one."""
@@ -21,10 +23,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """`df` as a frame whose actions delete their shuffle files when they end, instead of when the driver collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*")  # a frame keeps the setting under which it was made
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
+    """Materialise `df` in the shared checkpoint folder and cut its lineage; nothing reads its shuffle files after that."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return released(df).checkpoint()
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.storage import cut, ensure_checkpoint_dir, fresh  # noqa: F401
+from sparkloom.functions.storage import cut, ensure_checkpoint_dir, fresh, released  # noqa: F401
 
 #: Java/RE2/Python pattern of one word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         current = cut(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        row = current.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        row = released(current.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))).collect()[0]
         if signature == tuple(row):
             break
         signature = tuple(row)

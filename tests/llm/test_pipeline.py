@@ -102,3 +102,15 @@ def test_stages(spark):
         return r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))
 
     assert got == sorted(map(encoded, rows))
+
+
+def test_written_frames_leave_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions.storage import CLEANUP, cut
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    before, setting = set(files()), spark.conf.get(CLEANUP)
+    out = cut(spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not [f for f in files() if f not in before and "/shuffle_" in f]
+    assert out.count() == 7 and spark.conf.get(CLEANUP) == setting
