@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pickle
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from sparkloom.llm.common import connected_components, cut, salted_join
 
@@ -16,6 +18,8 @@ SALTS, LEAF = 64, 24
 MAX_CELLS, SAMPLE = 1024, 4096
 #: Vectors in one block: what a task holds of either side.
 BLOCK_ROWS = 4096
+#: A round of pairs of blocks sends so many bytes at least; the results of so many rounds are made one.
+ROUND_BYTES, MERGED = 64_000_000, 16
 SAFE = 1e-9
 
 
@@ -185,7 +189,7 @@ def _unit(embedding) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, block_rows: int = BLOCK_ROWS, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Equal vectors are one point with a multiplicity. The top level of the cover tree is a net of centres from
@@ -199,16 +203,17 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     as components are named by ids, each of them is `kept` whose component has that name. Other columns are
     ignored; an empty table gives no rows.
     """
+    kind = "array<float>" if vectors.schema[vector_col].dataType == ArrayType(FloatType()) else "array<double>"  # computed in doubles either way
     v = F.col("e")
     good = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists(v, lambda c: c != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("e"))
     rows = rows.withColumn("e", F.when(good, v)).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
     points = rows.where("e IS NOT NULL").groupBy("e").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("salts"))
     points = cut(points.withColumn("id", F.monotonically_increasing_id()))  # a point's number, whatever ids its vectors have
     placed, pairs = _blocks(points, block_rows, float(np.sqrt(2 - 2 * least)))
     if pairs is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    result = cut(_pair_tasks(placed, pairs, least))
+    result = cut(_pair_tasks(placed, pairs, least, round_bytes))
     links = result.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(result.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id")
     lows = comps.join(points.select("id", "low"), "id").groupBy("component").agg(F.min("low").alias("least"))
@@ -252,7 +257,7 @@ def _blocks(points: DataFrame, block_rows: int, limit: float) -> tuple[DataFrame
                 dist[at] = np.sqrt(np.maximum(0.0, 2 - 2 * dots[np.arange(len(at)), best])) + SAFE
             yield pdf[["id", "mult", "e"]].assign(cell=cell, dist=dist)
 
-    celled = cut(points.mapInPandas(place, "id long, mult long, e array<double>, cell string, dist double"))
+    celled = cut(points.mapInPandas(place, f"id long, mult long, e {points.schema['e'].dataType.simpleString()}, cell string, dist double"))
     cells = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
     cells = cut(cells.withColumn("parts", F.floor(F.col("n") / block_rows).cast("int") + 1))
     top = {(int(r["cell"].split("/")[0]), int(r["cell"].split("/")[1])): r["far"] for r in cells.collect()}
@@ -272,10 +277,17 @@ def _blocks(points: DataFrame, block_rows: int, limit: float) -> tuple[DataFrame
     return placed.withColumn("block", F.concat_ws("/", "cell", F.pmod(F.xxhash64("e"), F.col("parts")).cast("string"))), pairs
 
 
-def _pair_tasks(placed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+def _pair_tasks(placed: DataFrame, pairs: DataFrame, least: float, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """(id, links, root) of all pairs of blocks, in rounds.
+
+    A block goes to as many tasks as it has partners, so what is sent grows with the square of the input. A round
+    sends about as much as all blocks hold (`round_bytes` where they hold less), and its files go when it is written.
+    """
     def pack(pdf):
         x = _unit(pdf["e"])
         tree = CoverTree(x)  # once per block, not per pair
+        if np.asarray(pdf["e"].iloc[0]).dtype == np.float32:
+            tree.x = np.array(pdf["e"].tolist(), dtype=np.float32)  # half the bytes; made unit vectors again where it is used
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "tree": [pickle.dumps((pdf["id"].to_numpy(np.int64), pdf["mult"].to_numpy(np.int64), tree), protocol=5)]})
 
     def match(pdf):
@@ -283,10 +295,30 @@ def _pair_tasks(placed: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
         a, b = (sides.get(k) for k in (pdf["a"].iloc[0], pdf["b"].iloc[0]))
         if a is None or b is None:
             return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
+        for tree in {id(t): t for t in (a[2], b[2])}.values():
+            tree.x = _unit(tree.x) if tree.x.dtype == np.float32 else tree.x
         links = _Links(a[1], b[1], a is b)
         dual_traversal(a[2], b[2], least, links)
         return links.rows(a[0], b[0])
 
-    packed = placed.groupBy("block").applyInPandas(pack, "block string, tree binary")
-    wanted = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    return packed.join(wanted, "block").groupBy("a", "b").applyInPandas(match, "id long, links long, root long")
+    packed = cut(placed.groupBy("block").applyInPandas(pack, "block string, tree binary"))
+    size = F.octet_length("tree")
+    held = packed.agg(F.sum(size).alias("n")).first()["n"]
+    wanted = cut(pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")))
+    sent = wanted.join(packed.select("block", size.alias("n")), "block").agg(F.sum("n").alias("n")).first()["n"] or 0
+    rounds = -(-sent // max(round_bytes, held))
+    parts: list[DataFrame] = []
+    for k in range(rounds):
+        # a round's pairs are about as many as the blocks
+        mine = wanted.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k) if rounds > 1 else wanted
+        parts.append(cut(packed.join(F.broadcast(mine), "block").groupBy("a", "b").applyInPandas(match, "id long, links long, root long")))
+        if len(parts) == MERGED:
+            parts = [_merged(parts)]
+    return _merged(parts)
+
+
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    """The parts as one frame, with links that have the same ends summed."""
+    if len(parts) == 1:
+        return parts[0]
+    return cut(reduce(DataFrame.union, parts).groupBy("id", "root").agg(F.sum("links").alias("links")).select("id", "links", "root"))

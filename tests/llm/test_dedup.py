@@ -224,6 +224,27 @@ def test_cover_tree(spark, block_rows):
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cover_tree_sends_blocks_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *(x[k % 7] + rng.normal(size=6) * 0.2 for k in range(60))])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sent, real = [], cover_tree.cut
+
+    def cut(frame):
+        out = real(frame)
+        if out.columns == ["id", "links", "root"]:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(cover_tree, "cut", cut)
+    want = sorted(map(tuple, cover_tree.near_duplicates(df).collect()))
+    once = len(sent)
+    got = sorted(map(tuple, cover_tree.near_duplicates(df, block_rows=40, round_bytes=1).collect()))
+    assert got == want and any(r[1] for r in got)
+    assert len(sent) - once > 2
+
+
 def test_cover_tree_of_repeated_ids_and_huge_values(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, -1.0])]
     got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
