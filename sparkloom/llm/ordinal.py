@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.blocks import chunks, give_back, word_spans
-from sparkloom.llm.common import fresh
+from sparkloom.llm.blocks import chunks, give_back, pack, unpack, word_spans
+from sparkloom.llm.common import fresh, released
 
 BITS = 20
 #: Bytes of text at a time: the arrays of a chunk take some seventy times its size.
@@ -144,7 +144,7 @@ def fit(flat: np.ndarray, bounds: np.ndarray, grades: np.ndarray, top: int, *, e
     steps = 0
     for _ in range(epochs):
         for i in rng.permutation(n):
-            at, y = flat[bounds[i] : bounds[i + 1]], grades[i]
+            at, y = flat[bounds[i] : bounds[i + 1]].astype(np.int64), grades[i]
             zi = z[at]
             wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1 + np.sqrt(square[at])) / rate + 0.01))
             w[at] = wi
@@ -174,7 +174,8 @@ def graded(labels: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 def train(docs: DataFrame, grades: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", top: int = 2, max_rows: int = MAX_TRAINING_ROWS, max_bytes: int = MAX_TRAINING_BYTES, **options) -> OrdinalModel | None:
     """Fits on at most `max_rows` graded documents of at most `max_bytes` of text, picked by a hash of the id; None without any.
 
-    Features are made on the executors; the driver gets their indexes, bounded by `max_rows` and `max_bytes`.
+    Features are made on the executors, and one task, whose input `max_rows` and `max_bytes` bound, fits the model. The
+    driver gets the weights that aren't zero, and of each picked row its id, size and place.
     """
     picked = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -190,12 +191,19 @@ def train(docs: DataFrame, grades: DataFrame, *, id_col: str = "doc_id", text_co
             index = [flat[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "index": index})
 
-    found = rows.join(F.broadcast(picked), "doc_id").mapInPandas(encode, "doc_id long, grade int, index binary").toPandas()
-    if not len(found):
-        return None
-    found = found.sort_values(["doc_id", "index"], ignore_index=True)
-    parts = [np.frombuffer(x, "<i4").astype(np.int64) for x in found.pop("index")]
-    return fit(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), found["grade"].to_numpy(), top, **options)
+    def fitted(batches):
+        if frames := [pdf for pdf in batches if len(pdf)]:
+            found = pd.concat(frames).sort_values(["doc_id", "index"], ignore_index=True)
+            frames.clear()
+            parts = [np.frombuffer(x, "<i4") for x in found["index"]]
+            model = fit(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), found["grade"].to_numpy(), top, **options)
+            yield pd.DataFrame({"model": [pack(model)]})
+            del found, parts, model
+            give_back()
+
+    found = rows.join(F.broadcast(picked), "doc_id").mapInPandas(encode, "doc_id long, grade int, index binary")
+    made = released(found.repartition(1).mapInPandas(fitted, "model binary")).collect()
+    return unpack(made[0]["model"])[0] if made else None
 
 
 def _probabilities(model: OrdinalModel | None, text: Column) -> Column:

@@ -99,3 +99,22 @@ def test_training_text_is_bounded(spark):
         assert ordinal.classify(docs, ordinal.train(docs, ordinal.graded(labels), max_bytes=most)).count() == 40
     clash = docs.selectExpr("*", "1 AS p_tail", "2 AS p", "3 AS grade")
     assert ordinal.keep_good(clash, ordinal.train(clash, ordinal.graded(labels)), least=0.0).columns == clash.columns
+
+
+def test_the_driver_gets_the_model_and_not_the_training_rows(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 10**6, 4000)) + (" good" if i % 2 else " poor")) for i in range(300)]
+    grades = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(300)], "doc_id long, grade int")
+    docs = docs_of(spark, rows)
+    tracemalloc.start()
+    try:
+        got = ordinal.train(docs, grades, l1=0.05)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    flat, bounds = ordinal.features([t.encode() for _, t in rows])
+    want = ordinal.fit(flat, bounds, np.array([2 * (i % 2) for i, _ in rows]), 2, l1=0.05)
+    assert np.count_nonzero(want.weights) and (got.weights == want.weights).all() and (got.thresholds == want.thresholds).all()
+    assert peak < 3 * want.weights.nbytes < flat.nbytes * 3  # the weights, not what they were fitted on
