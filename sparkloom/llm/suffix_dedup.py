@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.blocks import NO_ID, by_bucket, chunks, ids_of, in_blocks, mix, pack, unpack
+from sparkloom.llm.blocks import NO_ID, by_bucket, chunks, give_back, ids_of, in_blocks, mix, pack, unpack
 
 #: Length of the strings that count as repeated, and of the anchors by which their places are found.
 LENGTH, ANCHOR = 50, 20
@@ -20,6 +20,8 @@ CONTEXT = LENGTH + SIDE
 PLACE_BITS = 28
 #: Suffix arrays are built over groups of contexts of about so many bytes.
 ARRAY_BYTES = 120_000
+#: Anchors are found in about so many bytes of documents at a time, and about so many kinds of context are resolved at a time.
+CHUNK_BYTES, SLICE_ROWS = 250_000, 20_000
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -147,22 +149,34 @@ def _anchors(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _parts(texts: list[bytes]):
     """For each chunk of documents: first document, bytes, starts of the documents, anchors."""
-    for a, b in chunks(texts):
+    for a, b in chunks(texts, CHUNK_BYTES):
         data = np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8)
         starts = np.cumsum([0, *map(len, texts[a : b - 1])]).astype(np.int64)
         yield a, data, starts, *anchors(data, starts)
 
 
-def _contexts(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+
+
+def _bounds(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end, in the context of each anchor, of the strings it stands for."""
+    return (SIDE - (at - first)).astype(np.uint8), (SIDE + LENGTH + last - at).astype(np.uint8)
+
+
+def _around(padded: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Around each anchor, at byte 30, the bytes of the strings it stands for, else zeros; their first and end."""
-    low, high = (SIDE - (at - first)).astype(np.uint8), (SIDE + LENGTH + last - at).astype(np.uint8)
-    padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[at] if len(at) else np.zeros((0, CONTEXT), np.uint8)
-    col = np.arange(CONTEXT)
-    rows = np.where((col >= low[:, None]) & (col < high[:, None]), rows, 0).astype(np.uint8)
+    col = np.arange(CONTEXT, dtype=np.uint8)
+    rows = rows * ((col >= low[:, None]) & (col < high[:, None]))
     return np.concatenate([rows, low[:, None], high[:, None]], axis=1)
 
 
+def _contexts(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Contexts of the anchors of `data`, without padding."""
+    return _around(_padded(data), at, *_bounds(at, first, last))
+
+
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First occurrence of each distinct row of bytes, and the number of each row's kind."""
     wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), dtype=np.uint8)
@@ -208,7 +222,7 @@ def _group_windows(key: np.ndarray, ctx: np.ndarray, least: np.ndarray) -> np.nd
 
 def _resolve(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The least document of each string of each row; rows are anchors of one bucket, `ctx` with bounds."""
-    of_key = key.astype(">u8").view(np.uint8).reshape(-1, 8)
+    of_key = _bytes(key)
     some, inverse = _distinct(np.concatenate([ctx, of_key], axis=1))
     m, kind_key, kind_ctx = len(some), key[some], ctx[some]
     least = np.full(m, NO_ID, dtype=np.int64)
@@ -237,7 +251,7 @@ def _settle(lows: np.ndarray, key: np.ndarray, ctx: np.ndarray, least: np.ndarra
     rows = rows[(ctx[rows, CONTEXT] <= high) & (ctx[rows, CONTEXT + 1] >= low + LENGTH)]
     if not len(rows):
         return
-    of_key = key[rows].astype(">u8").view(np.uint8).reshape(-1, 8)
+    of_key = _bytes(key[rows])
     _, group = _distinct(np.concatenate([of_key, ctx[rows, high:SIDE], ctx[rows, SIDE + ANCHOR : SIDE + ANCHOR + low]], axis=1))
     size = np.bincount(group)
     several = size[group] > 1
@@ -272,23 +286,50 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, a, b - 1
 
 
-def passage_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 10.0) -> DataFrame:
-    """Per document: doc_id, text (UTF-8), starts and ends of the maximal byte spans to remove.
+def _begin(texts: list[bytes]) -> np.ndarray:
+    """Where each text begins in all of them together."""
+    return np.cumsum([0, *map(len, texts[:-1])]).astype(np.int64)
 
-    A byte goes if a 50-byte string that covers it also starts in a document with a smaller id. Documents lie
-    in blocks; four steps in one plan, all of them shuffles of packed arrays:
-    1. each block asks for its anchors; buckets answer which ones lie in two documents or more;
-    2. each block sends the strings around those anchors, as contexts of up to 80 bytes, to the anchor's bucket. Equal contexts count
-       once; contexts that may share a string are put together and a suffix array by linear grouping sorts
-       them: neighbours that agree over 50 bytes are one string, whose least document is then known;
-    3. spans whose string has a smaller document go back to the block, 4. where they are joined.
-    Nothing is capped; the anchors of a group of copies collapse to one context.
 
-    Null text is empty; texts under 50 bytes lose nothing. A null id counts as larger than all. Rows that
-    repeat an id do not remove each other, both lose what a smaller id has. An empty table gives no rows;
-    other columns are ignored.
+def _bytes(key: np.ndarray) -> np.ndarray:
+    return key.astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
+def _resolve_blobs(blobs: list[bytes]) -> list[bytes]:
+    """For the packed contexts that each block sent to one bucket: starts and ends of its strings that a smaller document has.
+
+    A blob holds kinds of context and their keys, in the order of the keys, and each row's kind, document and place, in that order too.
+    Keys have nothing to do with one another, so about SLICE_ROWS kinds are resolved at a time, with all that have their keys.
     """
+    parts = [unpack(b) for b in blobs]
+    every = np.sort(np.concatenate([p[1] for p in parts]))
+    marks = np.unique(every[SLICE_ROWS::SLICE_ROWS])
+    marks = marks[marks > every[0]]
+    del every
+    kinds = [[0, *np.searchsorted(p[1], marks).tolist(), len(p[1])] for p in parts]
+    rows = [np.r_[0, np.cumsum(np.bincount(p[2], minlength=len(p[1])))][k].tolist() for p, k in zip(parts, kinds, strict=True)]
+    found = [([np.zeros(0, np.int64)], [np.zeros(0, np.int64)]) for _ in parts]
+    for k in range(len(marks) + 1):
+        least = []
+        for p, c, r in zip(parts, kinds, rows, strict=True):
+            least.append(np.full(c[k + 1] - c[k], NO_ID, dtype=np.int64))
+            np.minimum.at(least[-1], p[2][r[k] : r[k + 1]] - c[k], p[3][r[k] : r[k + 1]])
+        key, ctx = (np.concatenate([p[i][c[k] : c[k + 1]] for p, c in zip(parts, kinds, strict=True)]) for i in (1, 0))
+        lows, at = _resolve(key, ctx, np.concatenate(least)), 0
+        for p, c, r, (starts, ends) in zip(parts, kinds, rows, found, strict=True):
+            for x in range(r[k], r[k + 1], SLICE_ROWS):
+                y = min(x + SLICE_ROWS, r[k + 1])
+                row, a, b = _runs(lows[p[2][x:y] + (at - c[k])] < p[3][x:y, None])
+                place = p[4][x:y][row] - SIDE
+                starts.append(place + a), ends.append(place + b + LENGTH)
+            at += c[k + 1] - c[k]
+    return [pack(np.concatenate(starts), np.concatenate(ends)) for starts, ends in found]
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, block_mb: float, finish, schema: str) -> DataFrame:
+    """The steps of `passage_spans`; `finish` makes the rows of a block from ids, texts, starts and ends."""
     base, n = in_blocks(docs, id_col, text_col, block_mb)
+    none = finish(np.zeros(0, dtype=np.int64), [], [], [])
 
     def ask(pdf):
         texts, (ids, _) = pdf["text"].tolist(), ids_of(pdf)
@@ -322,72 +363,74 @@ def passage_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             return pd.DataFrame({"bucket": [], "block": [], "blob": []})
         wanted = np.sort(np.concatenate([unpack(b)[0] for b in answers["blob"]]))
         texts, (ids, _) = pdf["text"].tolist(), ids_of(pdf)
-        keys, ctxs, rows, places = [], [], [], []
-        for a, data, starts, at, z, first, last in _parts(texts):
+        begin, padded = _begin(texts), _padded(np.frombuffer(b"".join(texts), dtype=np.uint8))
+        keys, places, lows, highs = [], [], [], []
+        for a, _, _, at, z, first, last in _parts(texts):
             pos = np.searchsorted(wanted, z)
             pos[pos == len(wanted)] = 0
             yes = wanted[pos] == z if len(wanted) else np.zeros(len(z), dtype=bool)
-            at, z = at[yes], z[yes]
-            doc = np.searchsorted(starts, at, side="right") - 1
-            keys.append(z)
-            ctxs.append(_contexts(data, at, first[yes], last[yes]))
-            rows.append((a + doc).astype(np.int32))
-            places.append((at - starts[doc]).astype(np.int64))
-        keys, ctxs, rows, places = (np.concatenate(v) for v in (keys, ctxs, rows, places))
+            low, high = _bounds(at[yes], first[yes], last[yes])
+            keys.append(z[yes]), places.append(begin[a] + at[yes]), lows.append(low), highs.append(high)
+        keys, places, lows, highs = (np.concatenate(v) for v in (keys, places, lows, highs))
         order, bounds = by_bucket(keys, n)
         out = []
         for b, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if e > s:
                 o = order[s:e]
                 o = o[np.argsort(keys[o], kind="stable")]
-                wide = np.ascontiguousarray(ctxs[o])
-                some, inverse = _distinct(np.concatenate([wide, keys[o].astype(">u8").view(np.uint8).reshape(-1, 8)], axis=1))
-                out.append((b, int(pdf["block"].iloc[0]), pack(wide[some], keys[o][some], inverse.astype(np.int32), ids[rows[o]], rows[o], places[o])))
+                wide = _around(padded, places[o], lows[o], highs[o])
+                some, inverse = _distinct(np.concatenate([wide, _bytes(keys[o])], axis=1))
+                rank = np.argsort(some)  # as the keys are in order, so are the first of each kind
+                back = np.empty(len(some), dtype=np.int32)
+                back[rank] = np.arange(len(some))
+                some, doc = some[rank], np.searchsorted(begin, places[o], side="right") - 1
+                out.append((b, int(pdf["block"].iloc[0]), pack(wide[some], keys[o][some], back[inverse], ids[doc], places[o])))
         return pd.DataFrame(out, columns=["bucket", "block", "blob"])
 
     def resolve(pdf):
-        parts = [unpack(b) for b in pdf["blob"]]
-        lows = _resolve(np.concatenate([p[1][p[2]] for p in parts]), np.concatenate([p[0][p[2]] for p in parts]), np.concatenate([p[3] for p in parts]))
-        at, rows = 0, []
-        for block, p in zip(pdf["block"], parts, strict=True):
-            low = lows[at : at + len(p[3])]
-            at += len(p[3])
-            r, a, b = _runs(low < p[3][:, None])
-            rows.append((int(block), pack(p[4][r], p[5][r] - SIDE + a, p[5][r] - SIDE + b + LENGTH)))
-        return pd.DataFrame(rows, columns=["block", "blob"])
+        return pd.DataFrame({"block": pdf["block"].astype("int32"), "blob": _resolve_blobs(pdf["blob"].tolist())})
 
     def join(pdf, spans):
         if not len(pdf):
-            return pd.DataFrame({"doc_id": [], "text": [], "starts": [], "ends": []})
+            return none
         texts = pdf["text"].tolist()
-        parts = [unpack(b) for b in spans["blob"]] or [(np.zeros(0, np.int32),) + (np.zeros(0, np.int64),) * 2]
-        row, a, b = (np.concatenate(v) for v in zip(*parts, strict=True))
-        order = np.lexsort((a, row))
-        row, a, b = row[order], a[order], b[order]
-        cut = np.searchsorted(row, np.arange(len(texts) + 1))
+        a, b = (np.concatenate(v) for v in zip(*map(unpack, spans["blob"]), strict=True)) if len(spans) else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(a, kind="stable")
+        a, b, begin = a[order], b[order], _begin(texts)
+        cut = np.searchsorted(a, [*begin, begin[-1] + len(texts[-1])])
         starts, ends = [], []
         for i in range(len(texts)):
-            s, e = a[cut[i] : cut[i + 1]], b[cut[i] : cut[i + 1]]
+            s, e = a[cut[i] : cut[i + 1]] - begin[i], b[cut[i] : cut[i + 1]] - begin[i]
             if len(s):
                 reach = np.maximum.accumulate(e)
                 head = np.r_[True, s[1:] > reach[:-1]]
                 s, e = s[head], reach[np.r_[np.flatnonzero(head)[1:] - 1, len(reach) - 1]]
             starts.append(s.tolist())
             ends.append(e.tolist())
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "text": texts, "starts": starts, "ends": ends})
+        return finish(pdf["doc_id"].to_numpy(), texts, starts, ends)
 
     asked = base.groupBy("block").applyInPandas(_ordered(ask), "bucket int, block int, blob binary")
-    told = asked.groupBy("bucket").applyInPandas(answer, "block int, blob binary")
+    told = asked.groupBy("bucket").applyInPandas(_frugal(answer), "block int, blob binary")
     sent = base.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_ordered(send), "bucket int, block int, blob binary")
-    found = sent.groupBy("bucket").applyInPandas(resolve, "block int, blob binary")
-    return base.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_ordered(join), "doc_id long, text binary, starts array<long>, ends array<long>")
+    found = sent.groupBy("bucket").applyInPandas(_frugal(resolve), "block int, blob binary")
+    return base.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(_ordered(join), schema)
+
+
+def _frugal(f):
+    """`f`, after which freed memory goes back to the system: workers stay, and the next steps run in others beside them."""
+
+    def done(*frames):
+        try:
+            return f(*frames)
+        finally:
+            give_back()
+
+    return (lambda pdf: done(pdf)) if f.__code__.co_argcount == 1 else (lambda pdf, other: done(pdf, other))
 
 
 def _ordered(f):
-    """Rows of a block in one order at every step, as steps speak of them by number."""
-    if f.__code__.co_argcount == 1:
-        return lambda pdf: f(_sorted(pdf))
-    return lambda pdf, other: f(_sorted(pdf), other)
+    """Rows of a block in one order at every step, as steps speak of them by their places."""
+    return _frugal((lambda pdf: f(_sorted(pdf))) if f.__code__.co_argcount == 1 else (lambda pdf, other: f(_sorted(pdf), other)))
 
 
 def _sorted(pdf):
@@ -397,21 +440,43 @@ def _sorted(pdf):
     return pdf.iloc[sorted(range(len(keys)), key=keys.__getitem__)].reset_index(drop=True)
 
 
+def passage_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 10.0) -> DataFrame:
+    """Per document: doc_id, text (UTF-8), starts and ends of the maximal byte spans to remove.
+
+    A byte goes if a 50-byte string that covers it also starts in a document with a smaller id. Documents lie
+    in blocks; four steps in one plan, all of them shuffles of packed arrays:
+    1. each block asks for its anchors; buckets answer which ones lie in two documents or more;
+    2. each block sends the strings around those anchors, as contexts of up to 80 bytes, to the anchor's bucket. Equal contexts count
+       once; contexts that may share a string are put together and a suffix array by linear grouping sorts
+       them: neighbours that agree over 50 bytes are one string, whose least document is then known;
+    3. spans whose string has a smaller document go back to the block, 4. where they are joined.
+    Nothing is capped; the anchors of a group of copies collapse to one context.
+
+    Null text is empty; texts under 50 bytes lose nothing. A null id counts as larger than all. Rows that
+    repeat an id do not remove each other, both lose what a smaller id has. An empty table gives no rows;
+    other columns are ignored.
+    """
+
+    def finish(ids, texts, starts, ends):
+        return pd.DataFrame({"doc_id": ids, "text": texts, "starts": starts, "ends": ends})
+
+    return _passages(docs, id_col, text_col, block_mb, finish, "doc_id long, text binary, starts array<long>, ends array<long>")
+
+
 def passage_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 10.0) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of `passage_spans`."""
-
-    def digest(batches):
-        for pdf in batches:
-            rows = []
-            for t, s, e in zip(pdf["text"], pdf["starts"], pdf["ends"], strict=True):
-                h, at = hashlib.sha256(), 0
-                for x, y in zip(s, e, strict=True):
-                    h.update(t[at:x])
-                    at = int(y)
-                h.update(t[at:])
-                rows.append((len(t), int(np.sum(e) - np.sum(s)), len(s), h.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
-    return passage_spans(docs, id_col=id_col, text_col=text_col, block_mb=block_mb).mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of `passage_spans`, made where the spans are: no text leaves that task."""
+
+    def finish(ids, texts, starts, ends):
+        rows = []
+        for t, s, e in zip(texts, starts, ends, strict=True):
+            h, at = hashlib.sha256(), 0
+            for x, y in zip(s, e, strict=True):
+                h.update(t[at:x])
+                at = y
+            h.update(t[at:])
+            rows.append((len(t), sum(e) - sum(s), len(s), h.hexdigest()))
+        out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        out.insert(0, "doc_id", ids)
+        return out
+
+    return _passages(docs, id_col, text_col, block_mb, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

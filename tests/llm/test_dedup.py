@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -252,3 +254,68 @@ def test_cover_tree_of_repeated_ids_and_huge_values(spark):
     rows = [(1, [1e200, 1e199]), (2, [9e199, 1.5e199]), (3, [1e-200, 1e-201]), (4, [-1e200, 0.0]), (5, [5e-324, 0.0])]
     got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 3, 1)]
+
+
+class Here:
+    """Steps over groups run in this process, on frames of pandas; `most` gets the most memory that a call took, by the function's name."""
+
+    def __init__(self, pdf, most, key=None, other=None):
+        self.pdf, self.most, self.key, self.other = pdf, most, key, other
+
+    def groupBy(self, key):
+        return Here(self.pdf, self.most, key)
+
+    def cogroup(self, other):
+        return Here(self.pdf, self.most, self.key, other)
+
+    def applyInPandas(self, f, schema):
+        out = []
+        for k in sorted(set(self.pdf[self.key]) | (set(self.other.pdf[self.key]) if self.other else set())):
+            frames = [x.pdf[x.pdf[self.key] == k].reset_index(drop=True) for x in (self, self.other) if x]
+            tracemalloc.start()
+            out.append(f(*frames))
+            self.most.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        return Here(pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True), self.most)
+
+    def mapInPandas(self, f, schema):
+        return Here(pd.concat(f(iter([self.pdf])), ignore_index=True), self.most)
+
+
+def test_passages_take_little_memory(monkeypatch):
+    """Every text occurs twice, so each string has its context sent and resolved: the most that a task has to hold."""
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.randrange(10**9):x}" for _ in range(900)).encode() for _ in range(200)] * 2
+    size = sum(map(len, texts)) // 2
+    docs = pd.DataFrame({"block": [i % 2 for i in range(200)] * 2, "doc_id": range(400), "text": texts})
+    most = []
+    monkeypatch.setattr(suffix_dedup, "in_blocks", lambda *a: (Here(docs, most), 2))
+    got = suffix_dedup.passage_dedup(None).pdf
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in got.sort_values("doc_id").itertuples()] == [(len(t), len(t) * (i >= 200), int(i >= 200)) for i, t in enumerate(texts)]
+    assert max(most) < 25 * size, [round(m / size, 1) for m in most]
+
+
+@pytest.mark.parametrize("limits", [{}, {"SLICE_ROWS": 1, "CHUNK_BYTES": 1}, {"SLICE_ROWS": 7, "CHUNK_BYTES": 300, "ARRAY_BYTES": 200}])
+def test_passages_in_slices(monkeypatch, limits):
+    """Blocks and buckets of a few rows at a time, common anchors that outgrow a slice, empty texts between others, null and repeated ids."""
+    for name, value in limits.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(13)
+    rows = corpus(6) + [(None if k % 9 == 0 else 500 + k // 2, f"{rng.choice(['ab', 'cd'])}{rng.choice('xyz') * 9}this phrase of thirty-five bytes is here{rng.choice('uvw') * 12}{k % 40}") for k in range(120)]
+    rng.shuffle(rows)
+    data = [(10**9 if i is None else i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, b in data:
+        for k in range(len(b) - 49):
+            first[b[k : k + 50]] = min(first.get(b[k : k + 50], 10**9), i)
+    want = []
+    for i, b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        want.append((i, b, [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]))
+    docs = pd.DataFrame({"block": [k % 3 for k in range(len(rows))], "doc_id": pd.array([i for i, _ in rows], dtype=object), "text": [b for _, b in data]})
+    monkeypatch.setattr(suffix_dedup, "in_blocks", lambda *a: (Here(docs, []), 4))
+    got = suffix_dedup.passage_spans(None).pdf
+    assert sorted((10**9 if i is None else i, t, list(zip(s, e))) for i, t, s, e in got.itertuples(index=False)) == sorted(want)
